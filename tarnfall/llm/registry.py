@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfall.llm import hash_ring, line_rules, simhash_trie
+from tarnfall.llm import hash_ring, line_rules, simhash_trie, word_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,10 +25,21 @@ def op5_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer file is installed; not imported until a query needs it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op4_simhash_trie": op4_simhash_trie, "op5_hash_ring": op5_hash_ring, "op7_line_rules": op7_line_rules}
+QUERIES: dict[str, Query] = {"op4_simhash_trie": op4_simhash_trie, "op5_hash_ring": op5_hash_ring, "op6_word_bpe": op6_word_bpe, "op7_line_rules": op7_line_rules}
 
 ORACLES: dict[str, str] = {}
