@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfall.llm import hash_ring, line_rules, simhash_trie, word_bpe
+from tarnfall.llm import block_mix, hash_ring, kd_topk, line_rules, simhash_trie, token_files, warc, word_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.document_token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 49407)
+
+
 def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,27 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op4_simhash_trie": op4_simhash_trie, "op5_hash_ring": op5_hash_ring, "op6_word_bpe": op6_word_bpe, "op7_line_rules": op7_line_rules}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_mix.Mix(table(spark, sf_dir, "documents")).by_document()
+
+
+def op10_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES: dict[str, Query] = {
+    "op3_token_files": op3_token_files,
+    "op4_simhash_trie": op4_simhash_trie,
+    "op5_hash_ring": op5_hash_ring,
+    "op6_word_bpe": op6_word_bpe,
+    "op7_line_rules": op7_line_rules,
+    "op8_warc": op8_warc,
+    "op9_block_mix": op9_block_mix,
+    "op10_kd_topk": op10_kd_topk,
+}
 
 ORACLES: dict[str, str] = {}
