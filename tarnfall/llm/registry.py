@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfall.llm import block_mix, hash_ring, kd_topk, line_rules, simhash_trie, token_files, warc, word_bpe
+from tarnfall.llm import block_mix, hash_ring, kd_topk, line_rules, quality, simhash_trie, token_files, toxicity, warc, word_bpe
+from tarnfall.llm.labels import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def judged(scored: DataFrame, modulus: int, fold: int) -> DataFrame:
+    return scored.select("doc_id", held_out(F.col("doc_id"), modulus, fold).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judged(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), 4, 2)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judged(quality.score(docs, *quality.train(docs, table(spark, sf_dir, "labels"))), 5, 0)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.document_token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 49407)
 
@@ -57,6 +72,8 @@ def op10_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
     "op3_token_files": op3_token_files,
     "op4_simhash_trie": op4_simhash_trie,
     "op5_hash_ring": op5_hash_ring,

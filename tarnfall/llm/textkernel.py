@@ -25,6 +25,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: 0 white space, 1 letters and digits (and all bytes of other characters), 2 the rest
+CLASS = np.full(256, 2, np.uint8)
+CLASS[SPACE] = 0
+CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+
 CODES = mix(np.arange(256))
 BASE = int(mix(np.array([977]))[0]) | 5
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -72,6 +77,26 @@ class Texts:
         starts, ends = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
         return starts, ends, np.searchsorted(starts, self.offsets)
 
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of one class other than white space: starts, ends, classes, and where each document's runs begin."""
+        kind = CLASS[self.data]
+        edge = np.ones(len(kind) + 1, bool)
+        edge[1:-1] = kind[1:] != kind[:-1]
+        edge[self.offsets] = True
+        at = np.flatnonzero(edge)
+        starts, ends = at[:-1], at[1:]
+        if len(starts):
+            full = kind[starts] > 0
+            starts, ends = starts[full], ends[full]
+        return starts, ends, kind[starts], np.searchsorted(starts, self.offsets)
+
+    def fold(self) -> Texts:
+        """Lower case A-Z and Latin-1 letters."""
+        data = LOWER[self.data]
+        second = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+        data[second] += 0x20
+        return Texts(data, self.offsets)
+
     def lower(self) -> Texts:
         """A-Z in lower case."""
         return Texts(LOWER[self.data], self.offsets)
