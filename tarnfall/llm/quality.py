@@ -158,7 +158,7 @@ def vectors_of(rows: DataFrame, table: np.ndarray, net: Network | None) -> DataF
     """Rows with ``text``: in its place ``vector`` (no network) or ``score``."""
     bound_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast((table, net and net.parts))
-    names = [c for c in rows.columns if c != "text"]
+    names = [c for c in rows.columns if c not in ("text", "score" if net else "vector")]
     last = T.StructField("score", T.DoubleType()) if net else T.StructField("vector", T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,5 +183,5 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, fold: int = 0, p
 
 
 def score(docs: DataFrame, table: np.ndarray, net: Network) -> DataFrame:
-    """The documents with ``score``, the probability of good quality, in place of ``text``."""
+    """The documents with ``score``, the probability of good quality, in place of ``text`` and of any ``score``."""
     return vectors_of(docs, table, net)

@@ -167,22 +167,23 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, fold: int = 2, p
     return fit(sample_features(rows, swaps), totals, penalty)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with ``score``, the probability of toxicity, in place of ``text``."""
+def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """The documents with ``column``, the probability of toxicity, in place of ``text`` and of any column of that name."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.bias))  # at most most_features keys
-    names = [c for c in docs.columns if c != "text"]
+    names = [c for c in docs.columns if c not in ("text", column)]
     loaded: list[Model] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded[:] = loaded or [Model(*shared.value)]
         for batch in batches:
             for part, t in pieces(batch, "text"):
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(sigmoid(loaded[0].logits(t)))], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(sigmoid(loaded[0].logits(t)))], names=[*names, column])
 
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), T.StructField(column, T.DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The documents scored below the threshold, all columns."""
-    return score(docs.withColumn("__text", F.col("text")), model).where(F.col("score") < threshold).withColumnRenamed("__text", "text").select(docs.columns)
+    scored = score(docs.withColumn("__text", F.col("text")), model, "__score")
+    return scored.where(F.col("__score") < threshold).withColumnRenamed("__text", "text").select(docs.columns)
