@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnfall.llm import block_mix, hash_ring, kd_topk, line_rules, quality, simhash_trie, token_files, toxicity, warc, word_bpe
 from tarnfall.llm.labels import held_out
+from tarnfall.llm.oracles import ORACLES as _SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,4 +85,4 @@ QUERIES: dict[str, Query] = {
     "op10_kd_topk": op10_kd_topk,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(_SQL)
