@@ -75,7 +75,9 @@ def read_contents(chosen: DataFrame) -> DataFrame:
     read = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(paths)
     tail = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")  # noqa: E731  file:/a and file:///a are one path
     read = read.select(tail(F.col("path")).alias("key"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
-    return chosen.withColumn("key", tail(F.col("path"))).join(read, "key").select("rel", "ext", "size", "content")
+    both = chosen.withColumn("key", tail(F.col("path"))).join(read, "key", "left")
+    content = F.coalesce("content", F.when(F.col("size") == 0, ""))  # the source leaves out empty files
+    return both.select("rel", "ext", "size", content.alias("content")).where("content is not null")
 
 
 def lines(files: DataFrame) -> DataFrame:
