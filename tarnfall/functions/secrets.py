@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,11 +52,11 @@ def bound(value: Column, body) -> Column:
 def redact(text: Column) -> Column:
     """Every match of a known pattern replaced by its preview, one pattern after another, longest matches first."""
 
-    def one(out: Column, pattern: str) -> Column:
-        found = F.array_sort(F.array_distinct(matches(out, pattern)), lambda a, b: F.length(b) - F.length(a))
+    def one(out: Column, pattern: Column) -> Column:
+        found = F.array_sort(F.array_distinct(F.regexp_extract_all(out, pattern, F.lit(0))), lambda a, b: F.length(b) - F.length(a))
         return F.aggregate(found, out, lambda acc, m: F.replace(acc, m, preview(m)))
 
-    return reduce(lambda out, p: bound(out, lambda t: one(t, p[1])), PATTERNS, text)
+    return F.aggregate(F.array(*(F.lit(p) for _, p, _ in PATTERNS)), text, one)  # a fold keeps the plan small
 
 
 def redact_unknown(text: Column, hint: Column) -> Column:

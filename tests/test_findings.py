@@ -15,6 +15,7 @@ from tarnfall.model import COLUMNS
 from tarnfall.operators import compliance, dedup, diff, rank, route, summary
 from tarnfall.operators.normalize import conform, normalize
 from tarnfall.plans import api
+from tarnfall.plans import text as report
 from tarnfall.sources import files, rules, sarif, store
 from tarnfall.streaming.latest import latest_stream
 
@@ -193,6 +194,11 @@ def test_scan_and_rescan(spark, tmp_path):
     (root / "src/c.ts").write_text("const o = { dangerouslyAllowBrowser: true };")
     _, rows = api.rescan(spark, str(root), folder)
     assert {(r.rule_id, r.status) for r in rows.collect()} == {("client-metadata-authz", "resolved"), ("stripe-live-secret", "remaining"), ("llm-key-browser-exposed", "introduced")}
+    told = report.describe_changes(rows)
+    assert told.startswith("Resolved: 1 | Remaining: 1 | Introduced: 1 | Not re-checked: 0") and "Still present" in told
+    told = report.describe_scan(first)
+    assert "2 findings — 1 critical, 1 high" in told and "opengrep did not run" in told and LIVE not in told
+    assert report.result("x", first.summary())["structured"][0]["total"] == 2
     scan_id = first.envelope.first().scan_id
     cover, posture = api.compliance_report(spark, folder, scan_id, "ISO27001:2022")
     assert cover.count() == 7 and posture.first().posture_score == 100 - 15 - 8
