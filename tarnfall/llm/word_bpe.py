@@ -3,7 +3,7 @@
 New words of a batch are split by greedy longest match. A split is what the merges would give exactly if every token
 encodes to itself and every adjacent pair is compatible (no merge ever crosses their boundary); the pairs of all new
 words are tested together with arrays. Only words with a failing pair are merged step by step. Each worker keeps the
-words it has met, as white space bounds every token of this kind of vocabulary.
+words it has met lately, as white space bounds every token of this kind of vocabulary.
 
 Defined results: null and empty texts, and texts without a token, have no ids and decode to the empty text. Repeated rows
 and null ids come back as they are; an empty table gives an empty result; extra columns are ignored. Texts of any length
@@ -46,9 +46,13 @@ def byte_letters() -> list[str]:
 
 
 class Bpe:
-    """A vocabulary with word ends, from the JSON text of a tokenizer file."""
+    """A vocabulary with word ends, from the JSON text of a tokenizer file.
 
-    def __init__(self, source: str, specials: bool = True, most_words: int = 400_000):
+    Of each word it keeps the ids or, for ``texts``, both digests' parts. Words are kept in two generations of about
+    ``most_words`` each: those of the older one that are not met again go.
+    """
+
+    def __init__(self, source: str, specials: bool = True, texts: bool = False, most_words: int = 150_000):
         spec = json.loads(source)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         added = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -56,8 +60,7 @@ class Bpe:
         self.numbers = {i: str(i) for i in self.names}
         self.specials = added if specials else {}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if self.specials else None
-        self.letters = byte_letters()
-        self.ascii = str.maketrans({chr(b): self.letters[b] for b in range(128)})
+        self.bytes = str.maketrans({chr(b): x for b, x in enumerate(byte_letters())})
         size = max(self.names) + 1
         merges = [x if isinstance(x, list) else x.split(" ") for x in spec["model"]["merges"]]
         ids = np.array([(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in merges], np.int64).reshape(-1, 3)
@@ -68,16 +71,22 @@ class Bpe:
         key = ids[:, 0] * size + ids[:, 1]
         order = np.argsort(key)
         self.pair_keys, self.pair_ranks = np.append(key[order], np.iinfo(np.int64).max), np.append(order, self.none)
-        self.last = (self.none, -1)
-        self.merge = {(int(a), int(b)): (k, int(c)) for k, (a, b, c) in enumerate(ids)}
+        self.merge = {(a, b): k << 20 | c for k, (a, b, c) in enumerate(ids.tolist())}  # rank and result in one number
+        self.last = self.none << 20
         fine = self.compatible(ids[:, 0], ids[:, 1], np.arange(len(ids))).tolist()
         self.sound = [True] * size  # tokens that encode to themselves
         for ok, (a, b, c) in zip(fine, ids.tolist(), strict=True):
             self.sound[c] = ok and self.sound[a] and self.sound[b]
-        self.longest = max(map(len, self.vocab))
-        self.most_words = most_words
-        self.ids: dict[str, list[int]] = {}
-        self.texts: dict[str, tuple[str, str]] = {}
+        self.lengths: dict[str, list[int]] = {}  # of four letters the lengths of the tokens that begin with them, longest first
+        for token in self.vocab:
+            letters = token.removesuffix(WORD_END)
+            if len(letters) >= 4 and len(letters) not in (found := self.lengths.setdefault(letters[:4], [3, 2, 1])):
+                found.append(len(letters))
+        for found in self.lengths.values():
+            found.sort(reverse=True)
+        self.texts, self.most_words = texts, most_words
+        self.known: dict[str, list[int] | tuple[str, str]] = {}
+        self.older: dict[str, list[int] | tuple[str, str]] = {}
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.size + b
@@ -111,42 +120,47 @@ class Bpe:
         ids = [self.vocab[c] for c in letters[:-1]] + [self.vocab[letters[-1] + WORD_END]]
         if len(ids) <= 20:
             rank = self.merge.get
-            ranks = [rank(p, self.last) for p in zip(ids, ids[1:], strict=False)]
-            while ranks and (low := min(ranks)) is not self.last:
+            last = self.last
+            ranks = [rank(p, last) for p in zip(ids, ids[1:], strict=False)]
+            while ranks and (low := min(ranks)) != last:
                 i = ranks.index(low)
-                ids[i : i + 2] = [low[1]]
-                del ranks[i]
+                new = ids[i] = low & 0xFFFFF
+                del ids[i + 1], ranks[i]
                 if i:
-                    ranks[i - 1] = rank((ids[i - 1], ids[i]), self.last)
+                    ranks[i - 1] = rank((ids[i - 1], new), last)
                 if i < len(ranks):
-                    ranks[i] = rank((ids[i], ids[i + 1]), self.last)
+                    ranks[i] = rank((new, ids[i + 1]), last)
             return ids
         after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
-        heap = [(self.merge[p][0], i, *p) for i in range(len(ids) - 1) if (p := (ids[i], ids[i + 1])) in self.merge]
+        heap = [(self.merge[p] >> 20, i, *p) for i in range(len(ids) - 1) if (p := (ids[i], ids[i + 1])) in self.merge]
         heapq.heapify(heap)
         while heap:
             _, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = self.merge[a, b][1], -1
+            ids[i], ids[j] = self.merge[a, b] & 0xFFFFF, -1
             after[i] = after[j]
             if after[i] >= 0:
                 before[after[i]] = i
             for k, m in ((before[i], i), (i, after[i])):
                 if k >= 0 and m >= 0 and (p := (ids[k], ids[m])) in self.merge:
-                    heapq.heappush(heap, (self.merge[p][0], k, *p))
+                    heapq.heappush(heap, (self.merge[p] >> 20, k, *p))
         return [x for x in ids if x >= 0]
 
     def greedy(self, letters: str) -> tuple[list[int], bool]:
         """The longest token at each place, and whether all of them encode to themselves."""
         out, i, n, sound = [], 0, len(letters), True
-        vocab = self.vocab
+        vocab, lengths, whole = self.vocab, self.lengths, letters + WORD_END
         while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
-                token = vocab.get(letters[i:j] + WORD_END if j == n else letters[i:j])
-                if token is not None:
-                    break
+            token = vocab.get(whole[i:])
+            if token is not None:
+                j = n
+            else:
+                for size in lengths.get(letters[i : i + 4], (3, 2, 1)):
+                    j = i + size
+                    if j < n and (token := vocab.get(letters[i:j])) is not None:
+                        break
             out.append(token)
             sound = sound and self.sound[token]
             i = j
@@ -159,9 +173,10 @@ class Bpe:
         if word.isascii():
             if word.isalpha():
                 return [word.lower()]
-            return [x if x.isprintable() else x.translate(self.ascii) for x in PLAIN.findall(word.lower())]
-        lower = "".join(c.lower() for c in unicodedata.normalize("NFC", word))
-        return ["".join(self.letters[b] for b in x.encode()) for x in ANY.findall(lower)]
+            return [x if x.isprintable() else x.translate(self.bytes) for x in PLAIN.findall(word.lower())]
+        word = unicodedata.normalize("NFC", word)
+        lower = "".join(c.lower() for c in word) if "Σ" in word else word.lower()  # the end of a word has no sigma of its own
+        return [x.encode().decode("latin-1").translate(self.bytes) for x in ([lower] if lower.isalpha() else ANY.findall(lower))]
 
     def learn(self, words: set[str]) -> None:
         """Encodes new words: proposals, one test of all adjacent pairs, exact merges for those that fail."""
@@ -187,36 +202,37 @@ class Bpe:
                 ids = of[x[0]]
             else:
                 ids = list(chain.from_iterable(of[p] if isinstance(p, str) else [p] for p in x))
-            self.ids[word] = ids
-            self.texts[word] = (" ".join(map(number, ids)), " ".join(map(name, ids)))
+            self.known[word] = (" ".join(map(number, ids)), " ".join(map(name, ids))) if self.texts else ids
 
     def meet(self, texts: list[str | None]) -> list[list[str]]:
         """The white-space words of each text, all of them encoded afterwards."""
+        if len(self.known) > self.most_words:
+            self.known, self.older = {}, self.known
         split = [[w for w in (t or "").translate(BREAKS).split(" ") if w] for t in texts]
-        words = set(chain.from_iterable(split))
-        new = {w for w in words if w not in self.ids}
-        if len(self.ids) + len(new) > self.most_words:
-            self.ids, self.texts, new = {}, {}, words
-        if new:
+        met = {w for w in chain.from_iterable(split) if w not in self.known}
+        old = met & self.older.keys()
+        self.known.update((w, self.older[w]) for w in old)
+        if new := met - old:
             self.learn(new)
         return split
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        return [list(chain.from_iterable(map(self.ids.__getitem__, words))) for words in self.meet(texts)]
+        return [list(chain.from_iterable(map(self.known.__getitem__, words))) for words in self.meet(texts)]
 
     def decode(self, ids) -> str:
         """Token names joined by spaces, as the vocabulary has no decoder of its own."""
         return " ".join([self.names[i] for i in ids])
 
 
-_loaded: dict[tuple[str, bool], Bpe] = {}
+_loaded: dict[tuple[str, bool, bool], Bpe] = {}
 
 
-def loaded(source: str, specials: bool) -> Bpe:
-    """The worker's instance for a tokenizer file's text."""
-    key = (hashlib.sha256(source.encode()).hexdigest(), specials)
+def loaded(source: str, specials: bool, texts: bool = False) -> Bpe:
+    """The worker's instance for a tokenizer file's text; one at a time, as a worker may live through many stages."""
+    key = (hashlib.sha256(source.encode()).hexdigest(), specials, texts)
     if key not in _loaded:
-        _loaded[key] = Bpe(source, specials)
+        _loaded.clear()
+        _loaded[key] = Bpe(source, specials, texts)
     return _loaded[key]
 
 
@@ -233,11 +249,13 @@ def some_rows(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordB
         yield batch.slice(lo, rows)
 
 
-def encode(docs: DataFrame, path: str, specials: bool = True) -> DataFrame:
-    """The documents with ``ids``, an array of token ids, in place of ``text``."""
+def encode(docs: DataFrame, path: str, specials: bool = True, check: bool = False) -> DataFrame:
+    """The documents with ``ids``, an array of token ids, in place of ``text``; with ``check`` also ``decoded_sha256``,
+    the digest of the text that the ids decode to."""
     bound_batches(docs.sparkSession)
     source = read_tokenizer(docs, path)
-    names = [c for c in docs.columns if c != "text"]
+    added = ["ids", "decoded_sha256"] if check else ["ids"]
+    names = [c for c in docs.columns if c not in ("text", *added)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(source.value, specials)
@@ -245,10 +263,11 @@ def encode(docs: DataFrame, path: str, specials: bool = True) -> DataFrame:
             ids = bpe.encode(part.column("text").to_pylist())
             offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
             flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, offsets[-1].as_py()))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.ListArray.from_arrays(offsets, flat)], names=[*names, "ids"])
+            digests = [pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids], pa.string())] if check else []
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.ListArray.from_arrays(offsets, flat), *digests], names=[*names, *added])
 
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(run, schema)
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())][: len(added)]
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), *fields]))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -275,12 +294,12 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     source = read_tokenizer(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(source.value, True)
+        bpe = loaded(source.value, True, True)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for part in chain.from_iterable(map(some_rows, batches)):
             n, ids, texts = [], [], []
             for words in bpe.meet(part.column("text").to_pylist()):
-                known = [x for x in map(bpe.texts.__getitem__, words) if x[0]]
+                known = [x for x in map(bpe.known.__getitem__, words) if x[0]]
                 joined = " ".join([x[0] for x in known])
                 n.append(joined.count(" ") + 1 if joined else 0)
                 ids.append(sha(joined))
