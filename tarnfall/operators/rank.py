@@ -13,8 +13,8 @@ def at_least(findings: DataFrame, threshold: str | None) -> DataFrame:
 
 
 def display_order() -> list:
-    """Severity, file, line; the fingerprint settles ties."""
-    return [F.desc(severity_rank(F.col("severity"))), F.asc("file"), F.asc("start_line"), F.asc("fingerprint")]
+    """Severity, file, line; the fingerprint and then the weaknesses settle ties."""
+    return [F.desc(severity_rank(F.col("severity"))), F.asc("file"), F.asc("start_line"), F.asc("fingerprint"), F.asc(F.array_join("cwe", ","))]
 
 
 def limited(findings: DataFrame, most: int = MAX_FINDINGS, prefix: str = "F-") -> DataFrame:
@@ -27,4 +27,4 @@ def limited(findings: DataFrame, most: int = MAX_FINDINGS, prefix: str = "F-") -
 def top_lines(findings: DataFrame, n: int = 10) -> DataFrame:
     """One text for each of the first findings: severity, title, place, weaknesses, engine."""
     top = findings.orderBy(*display_order()).limit(n)
-    return top.select(F.format_string("  • [%s] %s — %s:%d (%s, %s)", "severity", "title", "file", "start_line", F.array_join("cwe", ", "), "engine").alias("line"), *(c for c in ("severity", "file", "start_line", "fingerprint")))
+    return top.select(F.format_string("  • [%s] %s — %s:%d (%s, %s)", "severity", "title", "file", "start_line", F.array_join("cwe", ", "), "engine").alias("line"), "severity", "file", "start_line", "fingerprint", "cwe")

@@ -159,18 +159,18 @@ def posture_by_place(spark, sf_dir):
     return summary.posture_score(merged(spark, sf_dir), "target", "file", "start_line")
 
 
-_TOP = f"{_RANK} DESC, file, line, fingerprint"
+_TOP = f"{_RANK} DESC, file, line, fingerprint, array_to_string(cwe, ',')"
 
 
-@query("display_top", f"WITH {MERGED}, one AS (SELECT * EXCLUDE (rn), row_number() OVER (ORDER BY {_TOP}) AS n FROM m WHERE target = 'repo-3' AND {_RANK} >= 3) SELECT 'F-' || printf('%04d', n) AS id, severity, file, line AS start_line, fingerprint FROM one WHERE n <= 200")
+@query("display_top", f"WITH {MERGED}, one AS (SELECT * EXCLUDE (rn), row_number() OVER (ORDER BY {_TOP}) AS n FROM m WHERE {_RANK} >= 3) SELECT 'F-' || printf('%04d', n) AS id, severity, file, line AS start_line, fingerprint FROM one WHERE n <= 200")
 def display_top(spark, sf_dir):
-    """The report of one scan: its first 200 findings."""
-    return rank.limited(rank.at_least(merged(spark, sf_dir).where("target = 'repo-3'"), "medium")).select("id", "severity", "file", "start_line", "fingerprint")
+    """The first 200 findings of all."""
+    return rank.limited(rank.at_least(merged(spark, sf_dir), "medium")).select("id", "severity", "file", "start_line", "fingerprint")
 
 
-@query("top_lines", f"WITH {MERGED}, one AS (SELECT * EXCLUDE (rn), row_number() OVER (ORDER BY {_TOP}) AS n FROM m WHERE target = 'repo-3') SELECT '  • [' || severity || '] ' || title || ' — ' || file || ':' || line || ' (' || array_to_string(cwe, ', ') || ', ' || engine || ')' AS line FROM one WHERE n <= 10")
+@query("top_lines", f"WITH {MERGED}, one AS (SELECT * EXCLUDE (rn), row_number() OVER (ORDER BY {_TOP}) AS n FROM m) SELECT '  • [' || severity || '] ' || title || ' — ' || file || ':' || line || ' (' || array_to_string(cwe, ', ') || ', ' || engine || ')' AS line FROM one WHERE n <= 10")
 def top_lines(spark, sf_dir):
-    return rank.top_lines(merged(spark, sf_dir).where("target = 'repo-3'")).select("line")
+    return rank.top_lines(merged(spark, sf_dir)).select("line")
 
 
 @query("compliance_tags", f"WITH {TAGGED} SELECT target, dedup_key, framework, control FROM tags")
