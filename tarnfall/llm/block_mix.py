@@ -163,7 +163,8 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """The pieces with the slots of their blocks: shard, slot, turn and the words taken, 0 where no slot takes the block."""
-        out = self.pieces().join(self.slots(), ["idx", "block"], "left")
+        # the slots grow out of a few drawn counts, whose size is all that the optimizer knows: without the hint it would broadcast them
+        out = self.pieces().join(self.slots().hint("merge"), ["idx", "block"], "left")
         return out.withColumn("words", F.greatest(F.lit(0), F.least("words", F.coalesce("take", F.lit(0)) - F.col("at")))).drop("take", "at")
 
     def by_document(self) -> DataFrame:
