@@ -2,12 +2,13 @@
 
 Every document is tokenised once: its own counts, and a hash with word count for each of its normalised lines (words in
 lower case A-Z joined by one space). Lines of one host that occur in more than ``max(min_docs, max_share * documents of
-the host)`` of its documents with different texts are boilerplate; they are taken out, and a document with less than
-``keep_share`` of its words left is depleted and rejected.
+the host)`` of its documents with different texts are boilerplate; a document with less than ``keep_share`` of its words
+left without them is depleted and rejected. :func:`line_rules` counts their words, :func:`keep_good` returns whole texts,
+:func:`keep_clean` returns the texts without these lines.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept. Null hosts form one host.
 Repeated rows come back as often as they occur; equal texts count once for a line. An empty table gives an empty result.
-Extra columns are ignored by :func:`line_rules` and kept by :func:`keep_good`.
+Extra columns are ignored by :func:`line_rules` and kept by :func:`keep_good` and :func:`keep_clean`.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,8 +98,8 @@ def profiles(docs: DataFrame, width: int, carry: list[str]) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def frequent_lines(lines: DataFrame, min_docs: int, max_share: float) -> DataFrame:
-    """Per host, the hashes of its boilerplate lines: at most (lines per document / max_share) of them for each host.
+def boilerplate(lines: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+    """host, line: the hashes of the boilerplate lines of each host.
 
     lines: a saved table of :func:`profiles`. Counts are summed before each shuffle; only lines whose plain row count
     is above the limit, which are few, are counted by distinct texts.
@@ -111,10 +112,16 @@ def frequent_lines(lines: DataFrame, min_docs: int, max_share: float) -> DataFra
         .select("host", "line", "text_hash").distinct().groupBy("host", "line").agg(F.count("*").alias("texts"))
     )
     over = F.col("texts") > F.greatest(F.lit(float(min_docs)), F.col("host_docs") * max_share)
-    return (
-        found.alias("f").join(hosts.alias("h"), F.col("f.host").eqNullSafe(F.col("h.host"))).where(over)
-        .groupBy("f.host").agg(F.collect_list("line").alias("frequent"))
-    )
+    return found.alias("f").join(hosts.alias("h"), F.col("f.host").eqNullSafe(F.col("h.host"))).where(over).select("f.host", "line")
+
+
+def frequent_lines(lines: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+    """Per host, the hashes of its boilerplate lines: at most (lines per document / max_share) of them for each host."""
+    return boilerplate(lines, min_docs, max_share).groupBy("host").agg(F.collect_list("line").alias("frequent"))
+
+
+def base_fails(min_words: int, repeat_percent: int) -> Column:
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
 
 
 def line_rules(docs: DataFrame, width: int = 5, min_words: int = 10, repeat_percent: int = 20, min_docs: int = 50, max_share: float = 0.1, keep_share: float = 0.2, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -130,7 +137,7 @@ def line_rules(docs: DataFrame, width: int = 5, min_words: int = 10, repeat_perc
     removed = F.expr("""
         coalesce(if(frequent is null, 0, aggregate(arrays_zip(line_hashes, line_words), 0L, (n, x) ->
             n + if(array_contains(frequent, x.line_hashes), cast(x.line_words as long), 0L))), 0L)""")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
+    failed = base_fails(min_words, repeat_percent)
     left = F.col("n_words") - F.col("boilerplate_words")
     return (
         marked.select(*carry, *COUNTS, removed.alias("boilerplate_words"))
@@ -139,13 +146,66 @@ def line_rules(docs: DataFrame, width: int = 5, min_words: int = 10, repeat_perc
     )
 
 
+def text_keys() -> dict[str, Column]:
+    """The host and two digests of the text."""
+    return {"__host": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "__hash": F.xxhash64("text"), "__size": F.coalesce(F.octet_length("text"), F.lit(-1))}
+
+
 def keep_good(docs: DataFrame, **rules) -> DataFrame:
     """The documents that :func:`line_rules` keeps, all columns and whole texts.
 
     The verdict depends on the text and its host alone, so rows are matched to the rejected (host, text) pairs by two
     digests of the text: repeated or null ids do no harm, and the anti join's large side can be split where it is skewed.
     """
-    keys = {"__host": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "__hash": F.xxhash64("text"), "__size": F.coalesce(F.octet_length("text"), F.lit(-1))}
+    keys = text_keys()
     keyed = docs.withColumns(keys)
     bad = line_rules(keyed, carry=tuple(keys), **rules).where("not kept").select(*keys).distinct()
     return keyed.join(bad, list(keys), "left_anti").drop(*keys)
+
+
+def without_lines(t: Texts, gone: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Each text without the lines whose hashes are in its list, its words, and its words left."""
+    starts, ends, bounds = t.words()
+    line_from, line_to, line_bounds = t.lines()
+    first, last = np.searchsorted(starts, line_from), np.searchsorted(starts, line_to)
+    keys = SpanHash(t.lower().hashes()(starts, ends))(first, last).view(np.int64)
+    n = np.diff(bounds)
+    texts, left, data = [], n.copy(), t.data.tobytes()
+    for i in range(t.n):
+        own = np.arange(line_bounds[i], line_bounds[i + 1])
+        drop = np.isin(keys[own], gone[i].values.to_numpy()) & (last[own] > first[own])
+        left[i] -= (last - first)[own][drop].sum()
+        texts.append(b"\n".join(data[a:b] for a, b in zip(line_from[own[~drop]].tolist(), line_to[own[~drop]].tolist(), strict=True)).decode())
+    return texts, n, left
+
+
+def keep_clean(docs: DataFrame, width: int = 5, min_words: int = 10, repeat_percent: int = 20, min_docs: int = 50, max_share: float = 0.1, keep_share: float = 0.2) -> DataFrame:
+    """The documents that :func:`line_rules` keeps, all columns, without the boilerplate lines of their hosts.
+
+    Other lines stay byte for byte; ``n_chars`` follows a changed text. Each text is matched to its own boilerplate lines
+    only, and the verdict is that of the words left in it.
+    """
+    keys = text_keys()
+    keyed = docs.withColumns(keys)
+    lines = saved(profiles(keyed.select(*keys, "text", F.col("source").alias("host")), width, list(keys)), "profiles")
+    often = broadcast_if_small(saved(boilerplate(lines, min_docs, max_share), "often"), 200_000)
+    each = lines.select(*keys, "host", F.explode("line_hashes").alias("line"))
+    has = each.alias("e").join(often.alias("o"), F.col("e.host").eqNullSafe(F.col("o.host")) & (F.col("e.line") == F.col("o.line")), "left_semi").groupBy(*keys).agg(F.collect_set("line").alias("__gone"))
+    bad = lines.where(base_fails(min_words, repeat_percent)).select(*keys).distinct()
+    has = saved(has.join(bad, list(keys), "left_anti"), "has")
+    plain = keyed.join(bad.unionByName(has.select(*keys)), list(keys), "left_anti").select(docs.columns)
+    marked = keyed.join(broadcast_if_small(has), list(keys)).select(*docs.columns, "__gone")
+    bound_batches(docs.sparkSession)
+    out = T.StructType([*marked.drop("text", "__gone").schema, *T.StructType.fromDDL("text string, __clean string, __words long, __left long")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, t in pieces(batch, "text"):
+                texts, n, left = without_lines(t, part.column("__gone"))
+                columns = [c for c in out.names if not c.startswith("__")]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(left, pa.int64())], names=[*columns, "__clean", "__words", "__left"])
+
+    cleaned = marked.mapInArrow(run, out).where(F.col("__left") >= keep_share * F.col("__words")).withColumn("text", F.col("__clean"))
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return plain.unionByName(cleaned.select(docs.columns))
