@@ -98,7 +98,7 @@ def profiles(docs: DataFrame, width: int, carry: list[str]) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def boilerplate(lines: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+def boilerplate(lines: DataFrame, min_docs: int, max_share: float, max_docs: int | None = None) -> DataFrame:
     """host, line: the hashes of the boilerplate lines of each host.
 
     lines: a saved table of :func:`profiles`. Counts are summed before each shuffle; only lines whose plain row count
@@ -111,7 +111,8 @@ def boilerplate(lines: DataFrame, min_docs: int, max_share: float) -> DataFrame:
         each.alias("e").join(broadcast_if_small(some, 200_000).alias("s"), F.col("e.host").eqNullSafe(F.col("s.host")) & (F.col("e.line") == F.col("s.line")), "left_semi")
         .select("host", "line", "text_hash").distinct().groupBy("host", "line").agg(F.count("*").alias("texts"))
     )
-    over = F.col("texts") > F.greatest(F.lit(float(min_docs)), F.col("host_docs") * max_share)
+    share = F.col("host_docs") * max_share
+    over = F.col("texts") > F.greatest(F.lit(float(min_docs)), share if max_docs is None else F.least(share, F.lit(float(max_docs))))
     return found.alias("f").join(hosts.alias("h"), F.col("f.host").eqNullSafe(F.col("h.host"))).where(over).select("f.host", "line")
 
 
@@ -179,7 +180,7 @@ def without_lines(t: Texts, gone: pa.ListArray) -> tuple[list[str], np.ndarray,
     return texts, n, left
 
 
-def keep_clean(docs: DataFrame, width: int = 5, min_words: int = 10, repeat_percent: int = 20, min_docs: int = 50, max_share: float = 0.1, keep_share: float = 0.2) -> DataFrame:
+def keep_clean(docs: DataFrame, width: int = 5, min_words: int = 10, repeat_percent: int = 20, min_docs: int = 50, max_share: float = 0.1, keep_share: float = 0.2, max_docs: int | None = None) -> DataFrame:
     """The documents that :func:`line_rules` keeps, all columns, without the boilerplate lines of their hosts.
 
     Other lines stay byte for byte; ``n_chars`` follows a changed text. Each text is matched to its own boilerplate lines
@@ -188,7 +189,7 @@ def keep_clean(docs: DataFrame, width: int = 5, min_words: int = 10, repeat_perc
     keys = text_keys()
     keyed = docs.withColumns(keys)
     lines = saved(profiles(keyed.select(*keys, "text", F.col("source").alias("host")), width, list(keys)), "profiles")
-    often = broadcast_if_small(saved(boilerplate(lines, min_docs, max_share), "often"), 200_000)
+    often = broadcast_if_small(saved(boilerplate(lines, min_docs, max_share, max_docs), "often"), 200_000)
     each = lines.select(*keys, "host", F.explode("line_hashes").alias("line"))
     has = each.alias("e").join(often.alias("o"), F.col("e.host").eqNullSafe(F.col("o.host")) & (F.col("e.line") == F.col("o.line")), "left_semi").groupBy(*keys).agg(F.collect_set("line").alias("__gone"))
     bad = lines.where(base_fails(min_words, repeat_percent)).select(*keys).distinct()

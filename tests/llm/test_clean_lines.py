@@ -25,3 +25,12 @@ def test_cleaned_texts_agree_with_the_counts(spark, sf_dir, odd_docs, no_docs):
         counts = line_rules.line_rules(docs, **rules).where("kept").collect()
         words = lambda r: len(WORD.findall(lower(r.text or "")))
         assert sorted((str(r.doc_id), words(r)) for r in kept.collect()) == sorted((str(r.doc_id), r.n_words - r.boilerplate_words) for r in counts)
+
+
+def test_the_limit_does_not_grow_with_the_host(spark):
+    """A line on 230 of a host's 2,500 texts, less than a tenth, goes; one on 150 stays, and so do all documents."""
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    line = lambda i: "Back to the start page\n" if i < 230 else "Rarely seen line\n" if i < 380 else ""
+    docs = spark.createDataFrame([(i, line(i) + own(i), "hot") for i in range(2500)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
+    assert got == {i: (line(i) if i >= 230 else "") + own(i) for i in range(2500)}
