@@ -43,9 +43,9 @@ def write_token_files(docs: DataFrame, path: str, folder: str, separator: int) -
 
         def chunks() -> Iterator[bytes]:
             for part in chain.from_iterable(map(some_rows, batches)):
-                tokens = bpe.encode(part.column("text").to_pylist())
+                tokens, bounds = bpe.encode_texts(part.column("text").to_pylist())
                 ids.append(part.column("doc_id"))
-                yield np.fromiter(chain.from_iterable(chain(x, (separator,)) for x in tokens), DTYPE, sum(map(len, tokens)) + len(tokens)).tobytes()
+                yield np.insert(tokens, bounds[1:], separator).astype(DTYPE).tobytes()
 
         size = write_file(uri, chunks())
         if ids:

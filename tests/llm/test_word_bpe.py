@@ -55,3 +55,15 @@ def test_arrays_and_round_trip(odd_docs, library):
     back = {r.doc_id: r.text for r in word_bpe.decode(ids, tokenizer(PATH)).where("doc_id > 3").collect()}
     for r in odd_docs.where("doc_id > 3").collect():
         assert back[r.doc_id] == library.decode(library.encode(r.text, add_special_tokens=False).ids, skip_special_tokens=False)
+
+
+def test_long_texts_and_long_words_like_the_library(spark, library, monkeypatch):
+    """Texts of many runs, and words of a megabyte: letters with merges, and without any white space at all."""
+    texts = [" ".join(f"word{i % 7919} thé{i % 31}'s" for i in range(120_000)), "<|endoftext|>".join(["ab" * 40, "x y"] * 3000), "lowering" * 60_000, "é" * 50_000, " \n" * 700_000 + "end"]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), library)
+    from tarnfall.llm.word_bpe import Bpe
+
+    bpe = Bpe(open(tokenizer(PATH), encoding="utf-8").read())
+    whole = bpe.encode_texts(texts[:2])
+    monkeypatch.setattr(word_bpe, "RUN", 100)
+    assert all((a == b).all() for a, b in zip(bpe.encode_texts(texts[:2]), whole, strict=True))
