@@ -4,20 +4,44 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: one list of written folders for each open :func:`scratch`
+_open: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's ``spark.checkpoint.dir``; only where that is unset (tests), below a local one."""
+    """A new folder below the session's ``spark.checkpoint.dir``. Where that is unset, a local folder is set if everything
+    runs on this machine; on a cluster it is an error, as executors would not see each other's files."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tarnfall-")
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end the shared folders that were made inside it. What is to last is written elsewhere before."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            fs, inner = filesystem(path)
+            if fs.get_file_info(inner).type == pafs.FileType.Directory:
+                fs.delete_dir(inner)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -27,14 +51,35 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """Hints a broadcast only if ``df`` (saved before, so counting is cheap) has at most ``max_rows`` rows; else a shuffle join."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_rows: int = 20_000, width: Column | None = None, max_bytes: int = 64 << 20) -> DataFrame:
+    """Hints a broadcast only if ``df`` (saved before, so counting is cheap) has at most ``max_rows`` rows; else a shuffle join.
+
+    Tables with rows of any length state a row's bytes as ``width``: their sum is bounded as well.
+    """
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if width is None else width), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, most: int = 10_000) -> DataFrame:
+    """Inner join of rows with a saved table of one row for each key, however unlike the keys' shares of the rows are.
+
+    The ``most`` largest groups by ``size`` are broadcast, so a key with a third of all rows stays where its rows are; of
+    the others, which a shuffle deals out, none has over 1 / ``most`` of the rows.
+    """
+    top = F.broadcast(groups.orderBy(F.desc(size), key).limit(most))
+    if groups.count() <= most:
+        return rows.join(top, key)
+    rest = rows.join(top.select(key), key, "left_anti")
+    return rows.join(top, key).unionByName(rest.join(groups, key))
 
 
 def bound_batches(spark: SparkSession, megabytes: int = 16) -> None:
-    """Arrow batches sent to Python hold at most so many MB, whatever the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+    """Arrow batches sent to Python hold at most so many MB, whatever the length of the texts. The setting is read when a
+    query starts, so it stays in the session; a smaller one that the session has is left alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark.conf.get(key, None)
+    if have is None or not have.isdigit() or int(have) > megabytes << 20:
+        spark.conf.set(key, str(megabytes << 20))
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -9,7 +9,8 @@ Only component edges leave a task, never all pairs. A block value with many fing
 its pairs of chunks go to tasks of their own.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other. Null ids are kept as rows
-but name no component unless a component has no other id. Repeated rows come back as often as they occur.
+but name no component unless a component has no other id. Repeated rows come back as often as they occur from
+:func:`simhash_groups`, once from :func:`keep_one`.
 """
 
 from __future__ import annotations
@@ -21,52 +22,63 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tarnfall.llm.shared import bound_batches, broadcast_if_small, saved
-from tarnfall.llm.textkernel import SPACE, Texts, pieces
+from tarnfall.llm.representatives import keep_least, text_keys
+from tarnfall.llm.shared import bound_batches, broadcast_if_small, join_groups, saved
+from tarnfall.llm.textkernel import Texts, pieces
 
 BITS = 64
 
 
-def fingerprints_of(t: Texts, width: int, seed: int = 42) -> np.ndarray:
-    """The fingerprint of each text."""
-    t = t.lower()
-    starts, ends, bounds = t.words()
-    out = np.zeros(t.n, np.uint64)
-    if not len(starts):
-        return out
-    # words with one space between them: of each gap only the byte before the next word stays
-    gap = SPACE[t.data]
-    keep = ~gap
-    keep[starts[starts > 0] - 1] = True
-    at = np.cumsum(keep) - 1
-    flat = np.where(gap[keep], np.uint8(0x20), t.data[keep]).tobytes()
-    n = np.diff(bounds)
-    shingles = np.where(n >= width, n - width + 1, np.minimum(n, 1))
-    begin = np.concatenate([[0], np.cumsum(shingles)])
-    first = np.arange(begin[-1]) - np.repeat(begin[:-1] - bounds[:-1], shingles)
-    last = first + np.repeat(np.minimum(n, width), shingles) - 1
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        (digest(flat[a:b], seed) for a, b in zip(at[starts[first]].tolist(), (at[ends[last] - 1] + 1).tolist(), strict=True)), np.uint64, len(first)
-    )
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    full = np.flatnonzero(shingles)
-    ones = np.add.reduceat(bits, begin[full], axis=0, dtype=np.int32)
-    out[full] = np.packbits(2 * ones > shingles[full, None], axis=1, bitorder="little").view(np.uint64).ravel()
+#: shingles whose bits are unpacked at once
+BLOCK = 1 << 16
+
+
+def majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Fingerprints of texts whose shingles' hashes lie between successive bounds: bits set in over half of them."""
+    count = np.diff(bounds)
+    full = np.flatnonzero(count)
+    ones = np.zeros((len(full), BITS), np.int64)
+    for lo in range(0, len(hashes), BLOCK):
+        hi = min(lo + BLOCK, len(hashes))
+        first, last = np.searchsorted(bounds[full], lo, side="right") - 1, np.searchsorted(bounds[full], hi) - 1
+        bits = np.unpackbits(hashes[lo:hi].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones[first : last + 1] += np.add.reduceat(bits, np.maximum(bounds[full[first : last + 1]] - lo, 0), axis=0, dtype=np.int32)
+    out = np.zeros(len(count), np.uint64)
+    out[full] = np.packbits(2 * ones > count[full, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every document."""
+def fingerprints_of(t: Texts, width: int, seed: int = 42) -> np.ndarray:
+    """The fingerprint of each text."""
+    data, digest, hashes, count = t.lower().data, xxhash.xxh64_intdigest, [np.zeros(0, np.uint64)], np.zeros(t.n, np.int64)
+    for i, (lo, hi) in enumerate(zip(t.offsets[:-1].tolist(), t.offsets[1:].tolist(), strict=True)):
+        words = data[lo:hi].tobytes().split()  # white space of bytes is the same as that of the words
+        if not words:
+            continue
+        flat = b" ".join(words)
+        starts = np.cumsum([0, *map(len, words)]) + np.arange(len(words) + 1)
+        n = max(1, len(words) - width + 1)
+        ends = starts[min(width, len(words)) :] - 1
+        for k in range(0, n, BLOCK):
+            spans = zip(starts[k : min(k + BLOCK, n)].tolist(), ends[k : min(k + BLOCK, n)].tolist(), strict=True)
+            hashes.append(np.fromiter((digest(flat[a:b], seed) for a, b in spans), np.uint64, min(BLOCK, n - k)))
+        count[i] = n
+    return majority(np.concatenate(hashes), np.concatenate([[0], np.cumsum(count)]))
+
+
+def fingerprints(docs: DataFrame, width: int = 4, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns and fp, the fingerprint as a signed long, of every document."""
     bound_batches(docs.sparkSession)
+    names = [*carry, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, t in pieces(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints_of(t, width).view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(fingerprints_of(t, width).view(np.int64))], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*carry, "text").mapInArrow(run, T.StructType([*docs.select(*carry).schema, T.StructField("fp", T.LongType())]))
 
 
 class Components:
@@ -82,7 +94,7 @@ class Components:
             if (low == high).all():
                 return
             np.minimum.at(self.of, high, low)
-            while (up := self.of[self.of]).tolist() != self.of.tolist():
+            while not np.array_equal(up := self.of[self.of], self.of):
                 self.of = up
 
 
@@ -215,42 +227,41 @@ def components(edges: DataFrame) -> DataFrame:
     roots = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "hook")
+        hook = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"), F.count("*").alias("degree"))
+        hook = saved(hook.select("node", F.least("node", "low").alias("root"), "degree"), "hook")
         if roots is None:
-            roots = hook
+            roots = hook.select("node", "root")
         else:
-            up = hook.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            roots = saved(roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots")
-        for end in ("a", "b"):
-            edges = edges.join(hook.select(F.col("node").alias(end), F.col("root").alias("up")), end).drop(end).withColumnRenamed("up", end)
+            sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
+            up = saved(sizes.join(hook.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("root", F.coalesce("up", "root").alias("up"), "n"), "up")
+            roots = saved(join_groups(roots, up, "root", "n").select("node", F.col("up").alias("root")), "roots")
+        for end in ("a", "b"):  # a node with very many edges, the first of a dense group, is not dealt to one task
+            edges = join_groups(edges, hook.select(F.col("node").alias(end), F.col("root").alias("up"), "degree"), end, "degree").drop(end, "degree").withColumnRenamed("up", end)
         edges = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def rooted(fps: DataFrame, max_bits: int) -> DataFrame:
+    """fp, root of every distinct fingerprint: the trie join's components, a fingerprint without a link being its own root."""
+    roots = components(links(fps, max_bits))
+    return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the least doc_id reachable) of every document."""
     fps = saved(fingerprints(docs, width), "fingerprints")
-    least = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    roots = components(links(least.select("fp"), max_bits))
-    of = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    of = saved(of, "of")
-    ids = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = of.join(ids, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "distinct")
+    of = saved(least.join(rooted(least.select("fp"), max_bits), "fp"), "of")
+    ids = saved(of.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("m")), "ids")
+    named = saved(join_groups(of, ids, "root", "m").select("fp", "component_id", "n"), "named")
+    return join_groups(fps, named, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataFrame:
-    """One document of each component stays: that with the least doc_id, all columns.
-
-    Rows that repeat its doc_id and text are reduced to one. Rows without a doc_id stay.
-    """
-    groups = saved(simhash_groups(docs, width, max_bits), "groups")
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = saved(again, "again")
-    if again.isEmpty():
-        return kept
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(
-        kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
-    )
+    """One row of each component stays, all columns: that with the least doc_id (null last), of rows with one id that whose
+    text's digest is least; rows that repeat both are reduced to one."""
+    prints = saved(fingerprints(docs.withColumns(text_keys()), width, ("__one", "__two")).distinct(), "prints")
+    sizes = saved(prints.groupBy("fp").agg(F.count("*").alias("n")), "distinct")
+    of = saved(rooted(sizes.select("fp"), max_bits).join(sizes, "fp"), "of")
+    roots = join_groups(prints, of, "fp", "n").select("__one", "__two", "root")
+    return keep_least(docs, lambda texts: texts.join(roots, ["__one", "__two"]))

@@ -33,30 +33,48 @@ CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 CODES = mix(np.arange(256))
 BASE = int(mix(np.array([977]))[0]) | 5
 INVERSE = pow(BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+#: positions are handled by so many at a time, so that work arrays beyond one long per position stay small
+CHUNK = 1 << 16
 
 
-def powers(base: int, n: int) -> np.ndarray:
+def _powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 21)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        _powers[base] = have = np.cumprod(have, dtype=np.uint64)
-    return have[:n]
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def tables(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 .. CHUNK-1 of the base, and of its CHUNK-th power: enough for positions below 2**32."""
+    if base not in _tables:
+        _tables[base] = _powers(base, CHUNK), _powers(pow(base, CHUNK, 1 << 64), 1 << 16)
+    return _tables[base]
+
+
+def power(base: int, at: np.ndarray) -> np.ndarray:
+    """base**at modulo 2**64."""
+    low, high = tables(base)
+    return low[at & (CHUNK - 1)] * high[at >> 16]
 
 
 class SpanHash:
-    """Hashes of spans of a sequence of 64-bit codes."""
+    """Hashes of spans of a sequence of 64-bit codes; with a ``table``, of the codes that it gives the members."""
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, table: np.ndarray | None = None):
         self.sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * powers(BASE, len(codes)), out=self.sums[1:])
+        low, high = tables(BASE)
+        for lo in range(0, len(codes), CHUNK):
+            part = codes[lo : lo + CHUNK] if table is None else table.take(codes[lo : lo + CHUNK])
+            sums = self.sums[lo + 1 : lo + 1 + len(part)]
+            np.cumsum(part * low[: len(part)], out=sums)
+            sums *= high[lo >> 16]
+            sums += self.sums[lo]
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        inverse = powers(INVERSE, len(self.sums))
-        return mix((self.sums[ends] - self.sums[starts]) * inverse[starts])
+        return mix((self.sums[ends] - self.sums[starts]) * power(INVERSE, starts))
 
 
 class Texts:
@@ -102,10 +120,12 @@ class Texts:
         return Texts(LOWER[self.data], self.offsets)
 
     def hashes(self) -> SpanHash:
-        return SpanHash(CODES[self.data])
+        return SpanHash(self.data, CODES)
 
     def count(self, flags: np.ndarray) -> np.ndarray:
         """Bytes of each document for which the flag holds."""
+        if self.n == 1:
+            return np.array([np.count_nonzero(flags)])
         sums = np.zeros(len(flags) + 1, np.int64)
         np.cumsum(flags, out=sums[1:])
         return np.diff(sums[self.offsets])

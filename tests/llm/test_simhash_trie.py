@@ -1,10 +1,13 @@
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tarnfall.llm import simhash_trie
+from tarnfall.llm import near_copies, simhash_trie
+from tarnfall.llm.textkernel import texts_of
 
 
 def plain_fingerprint(text):
@@ -99,3 +102,37 @@ def test_many_copies(spark):
     assert got.count() == 500
     assert [r.component_id for r in got.select("component_id").distinct().collect()] == [0]
     assert [r.doc_id for r in simhash_trie.keep_one(docs).collect()] == [0]
+
+
+A, B = "the first group has these eleven words in each of its rows", "another group with wholly different contents and some more words here"
+
+
+@pytest.mark.parametrize("keep_one", [simhash_trie.keep_one, near_copies.keep_one])
+@pytest.mark.parametrize(
+    ("rows", "want"),
+    [
+        ([(1, A), (5, A), (5, B)], [(1, A), (5, B)]),  # an id on two texts, one of them another id's
+        ([(5, A), (5, A + " ")], [(5, None)]),  # one id, texts that differ by a space: either stays
+        ([(None, A), (None, A), (None, B)], [(None, A), (None, B)]),  # null ids are reduced like others
+        ([(None, A), (7, A), (7, A)], [(7, A)]),  # and come after all others
+        ([(3, None), (2, ""), (4, " \n"), (9, A)], [(2, ""), (9, A)]),
+    ],
+)
+def test_ids_of_all_kinds(spark, keep_one, rows, want):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, root string")
+    got = keep_one(docs)
+    assert got.columns == docs.columns
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r.doc_id, r.text if all(w[1] is not None for w in want) else None) for r in got.collect()), key=key) == sorted(want, key=key)
+
+
+def test_a_long_text_in_blocks(spark, monkeypatch):
+    """Bits are counted over blocks of shingles; every cut gives the same fingerprints."""
+    texts = [" ".join(f"w{i * i % 9973}" for i in range(50_000)), None, "short text of a few words", "", "w " * 5000]
+    t = texts_of(pa.array(texts))
+    want = [plain_fingerprint(x) for x in texts]
+    assert simhash_trie.fingerprints_of(t, 4).tolist() == want
+    for block in (1, 3, 1000):
+        if block > 1:
+            monkeypatch.setattr(simhash_trie, "BLOCK", block)
+            assert simhash_trie.fingerprints_of(texts_of(pa.array(texts[1:])), 4).tolist() == want[1:]
