@@ -39,13 +39,13 @@ SPACES = "\t-\r \x85\xa0  -     　"
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: bytes of a word beyond which it is merged on its own, and characters of a text that are encoded at once
-LONG, RUN = 64, 1 << 20
+LONG, RUN = 64, 1 << 19
 BREAK = re.compile(f"[{SPACES}]")
 
 
 def kinds() -> np.ndarray:
     """Of each character whether it is white space, a letter, a number or anything else."""
-    every, out = "".join(map(chr, range(0x110000))), np.full(0x110000, OTHER, np.uint8)
+    every, out = np.arange(0x110000, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass"), np.full(0x110000, OTHER, np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, f"[{SPACES}]+")):
         for m in regex.finditer(pattern, every):
             out[m.start() : m.end()] = kind
@@ -332,7 +332,7 @@ class Bpe:
             np.cumsum(1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000), out=place[1:])
             starts, stops = place[starts], place[stops]
         # equal words once: by a hash, checked byte by byte
-        keys = SpanHash(CODES[data])(starts, stops) ^ mix(stops - starts)
+        keys = SpanHash(data, CODES)(starts, stops) ^ mix(stops - starts)
         _, first, which = np.unique(keys, return_index=True, return_inverse=True)
         size = stops - starts
         twin = first[which]
@@ -434,7 +434,7 @@ def read_tokenizer(docs: DataFrame, path: str) -> Broadcast:
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def some_rows(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def some_rows(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` bytes of text."""
     rows = max(1, int(batch.num_rows * most / max(batch.column("text").nbytes, 1)))
     for lo in range(0, batch.num_rows, rows):
