@@ -1,11 +1,14 @@
 """Quality: random-indexing word vectors pooled per document, then a two-layer network with calibrated probabilities.
 
-Every token (a run of letters or of symbols) has a sparse random index vector made from its hash; its context vector is
-the sum of the index vectors of its neighbours over all documents. Tokens share ``BUCKETS`` rows by hash, so the table of
-context vectors has a fixed size: tasks send sums, the driver gets one row per bucket, and the broadcast table is 2 MB.
-A document is the mean of its tokens' vectors (weighted down for frequent buckets) with a few rates of its surface. The
-network is fitted on a bounded sample of labelled rows; a temperature fitted on a part of it that the training does not
-see calibrates the probabilities.
+Every word (a run of letters or of symbols) has a sparse random index vector made from its hash; its context vector is the
+sum of the index vectors of its neighbours over all documents. The ``OWN`` most frequent words of all documents have rows
+of their own; the others share ``BUCKETS`` rows by hash, so the table has a fixed size at any size of the corpus: tasks
+send sums, the driver gets one row of each word or bucket, and the broadcast table is 5 MB.
+
+A document is its pooled vectors and nothing else: mean and deviation of its words' context vectors, and how much its
+words' index vectors, weighted down for frequent words, add up (a text that says the same again and again has a long sum).
+The network is fitted on a bounded sample of labelled rows; a temperature fitted on a part of it that the training does
+not see calibrates the probabilities.
 
 Defined results: null and empty texts have the zero vector and get its score. Without labels of both kinds the score is
 the share of good labels (0.5 without any). Repeated rows and null ids are scored like any other. Labels, language,
@@ -24,87 +27,139 @@ from pyspark.sql import types as T
 
 from tarnfall.llm.labels import training_rows
 from tarnfall.llm.shared import bound_batches
-from tarnfall.llm.textkernel import CLASS, Texts, mix, pieces, sums_of
-
-BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 32, 4, 2
-UPPER, DIGIT = np.zeros(256, bool), np.zeros(256, bool)
-UPPER[65:91], DIGIT[48:58] = True, True
-
+from tarnfall.llm.textkernel import Texts, mix, pieces
 
-def tokens(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, classes and lengths of the tokens, and where each document's tokens begin."""
-    starts, ends, kind, bounds = t.runs()
-    return t.hashes()(starts, ends), kind, ends - starts, bounds
+OWN, BUCKETS, DIM, NONZERO, WINDOW = 1 << 15, 1 << 13, 32, 4, 2
+#: components of the index vectors whose sums measure repetition, and documents summed at once
+WIDE, AT_ONCE = 256, 4096
+FEATURES = 2 * DIM + 1
 
 
-def bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+def words_of(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and where each document's begin."""
+    starts, ends, _, bounds = t.runs()
+    return t.hashes()(starts, ends), bounds
 
 
-def add_contexts(t: Texts, table: np.ndarray) -> None:
-    """Adds the neighbours' index vectors to the rows of the tokens' buckets, and 1 to their last column."""
-    hashes, _, _, bounds = tokens(t)
-    doc, row, n = np.repeat(np.arange(t.n), np.diff(bounds)), bucket(hashes), len(hashes)
+def index_vectors(hashes: np.ndarray, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The components of the words' index vectors that are not zero: place and sign, ``NONZERO`` times."""
     bits = mix(hashes ^ np.uint64(0x5EED))
     for k in range(NONZERO):
-        place = ((bits >> np.uint64(8 * k)) & np.uint64(DIM - 1)).astype(np.int64)
-        sign = np.where((bits >> np.uint64(8 * k + 7)) & np.uint64(1), 1.0, -1.0)
-        at, of = [], []
+        part = bits >> np.uint64(16 * k)
+        yield (part & np.uint64(dim - 1)).astype(np.int64), np.where((part >> np.uint64(15)) & np.uint64(1), 1.0, -1.0)
+
+
+class Vectors:
+    """Context vectors of all words: ``own``, the sorted hashes of the words with a row of their own, then the buckets."""
+
+    def __init__(self, own: np.ndarray, units: np.ndarray, weights: np.ndarray):
+        self.own, self.units, self.weights = own, units, weights
+
+    @staticmethod
+    def rows(own: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        bucket = len(own) + (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+        if not len(own):
+            return bucket
+        at = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
+        return np.where(own[at] == hashes, at, bucket)
+
+
+def add_contexts(t: Texts, own: np.ndarray, table: np.ndarray) -> None:
+    """Adds the neighbours' index vectors to the words' rows, and 1 to their last column."""
+    hashes, bounds = words_of(t)
+    doc, row, n, size = np.repeat(np.arange(t.n), np.diff(bounds)), Vectors.rows(own, hashes), len(hashes), len(table)
+    for place, sign in index_vectors(hashes, DIM):
         for step in range(1, WINDOW + 1):
             near = np.flatnonzero(doc[step:] == doc[: n - step]) if n > step else np.zeros(0, np.int64)
-            at += [row[near] * DIM + place[near + step], row[near + step] * DIM + place[near]]
-            of += [sign[near + step], sign[near]]
-        table[:, :DIM] += np.bincount(np.concatenate(at), np.concatenate(of), minlength=BUCKETS * DIM).reshape(BUCKETS, DIM)
-    table[:, DIM] += np.bincount(row, minlength=BUCKETS)
+            at = np.concatenate([row[near] * DIM + place[near + step], row[near + step] * DIM + place[near]])
+            table[:, :DIM] += np.bincount(at, np.concatenate([sign[near + step], sign[near]]), minlength=size * DIM).reshape(size, DIM).astype(np.int64)
+    table[:, DIM] += np.bincount(row, minlength=size)
 
 
-def context_vectors(docs: DataFrame) -> np.ndarray:
-    """The unit context vectors of all buckets, scaled by a weight that falls with the bucket's frequency; from all documents."""
+def frequent_words(docs: DataFrame, most: int = OWN) -> np.ndarray:
+    """The sorted hashes of the ``most`` most frequent words of all documents."""
     bound_batches(docs.sparkSession)
-    columns = [f"d{i}" for i in range(DIM + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((BUCKETS, DIM + 1))
         for batch in batches:
             for _, t in pieces(batch, "text", 4 << 20):
-                add_contexts(t, table)
-        full = np.flatnonzero(table[:, DIM])
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *(pa.array(table[full, i], pa.int64()) for i in range(DIM + 1))], names=["bucket", *columns])
+                word, n = np.unique(words_of(t)[0].view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n, pa.int64())], names=["word", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most).select("word").toArrow()
+    return np.sort(top.column("word").to_numpy().view(np.uint64))
+
 
-    sums = docs.select("text").mapInArrow(run, "bucket long, " + ", ".join(f"{c} long" for c in columns)).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns))
-    got, out = sums.toArrow(), np.zeros((BUCKETS, DIM), np.float32)  # at most BUCKETS rows
+def context_sums(docs: DataFrame, own: np.ndarray) -> np.ndarray:
+    """Sums of the neighbours' index vectors and the number of occurrences, by row; from all documents."""
+    bound_batches(docs.sparkSession)
+    columns, size = [f"d{i}" for i in range(DIM + 1)], len(own) + BUCKETS
+    shared = docs.sparkSession.sparkContext.broadcast(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((size, DIM + 1), np.int64)
+
+        def sums() -> pa.RecordBatch:
+            full = np.flatnonzero(table[:, DIM])
+            out = pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *(pa.array(table[full, i], pa.int32()) for i in range(DIM + 1))], names=["row", *columns])
+            table[:] = 0
+            return out
+
+        for batch in batches:
+            for _, t in pieces(batch, "text", 4 << 20):
+                add_contexts(t, shared.value, table)
+                if table[:, DIM].max() > 1 << 26:  # far from what an int holds
+                    yield sums()
+        yield sums()
+
+    parts = docs.select("text").mapInArrow(run, "row long, " + ", ".join(f"{c} int" for c in columns))
+    got = parts.groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()  # as many rows as the table has at most
+    out = np.zeros((size, DIM + 1), np.int64)
     if got.num_rows:
-        table = np.stack([got.column(c).to_numpy() for c in columns], axis=1).astype(float)
-        share = table[:, DIM] / table[:, DIM].sum()
-        unit = table[:, :DIM] / np.maximum(np.linalg.norm(table[:, :DIM], axis=1, keepdims=True), 1)
-        out[got.column("bucket").to_numpy()] = unit * (1e-3 / (1e-3 + share))[:, None]
+        out[got.column("row").to_numpy()] = np.stack([got.column(c).to_numpy() for c in columns], axis=1)
     return out
 
 
-def document_vectors(t: Texts, vectors: np.ndarray) -> np.ndarray:
-    """The pooled vector of each text, and the rates of its surface."""
-    hashes, kind, length, bounds = tokens(t)
-    n = np.maximum(np.diff(bounds), 1)
-    doc = np.repeat(np.arange(t.n), np.diff(bounds))
-    pooled = np.zeros((t.n, DIM))
-    full = np.flatnonzero(np.diff(bounds))
+def context_vectors(docs: DataFrame) -> Vectors:
+    """The unit context vector of each row, and a weight that falls with its frequency."""
+    own = frequent_words(docs)
+    table = context_sums(docs, own).astype(float)
+    units = table[:, :DIM] / np.maximum(np.linalg.norm(table[:, :DIM], axis=1, keepdims=True), 1)
+    share = table[:, DIM] / max(table[:, DIM].sum(), 1)
+    return Vectors(own, units.astype(np.float32), (1e-3 / (1e-3 + share)).astype(np.float32))
+
+
+def repetition(hashes: np.ndarray, weights: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Of each document the squared length of the weighted sum of its words' index vectors, over what unlike words would
+    give; as a logarithm."""
+    out = np.zeros(len(bounds) - 1)
+    for lo in range(0, len(out), AT_ONCE):
+        hi = min(lo + AT_ONCE, len(out))
+        part = slice(bounds[lo], bounds[hi])
+        doc, w = np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1])), weights[part].astype(float)
+        sums = np.zeros((hi - lo) * WIDE)
+        for place, sign in index_vectors(hashes[part], WIDE):
+            sums += np.bincount(doc * WIDE + place, sign * w, minlength=len(sums))
+        unlike = NONZERO * np.bincount(doc, w * w, minlength=hi - lo)
+        out[lo:hi] = np.log(np.square(sums.reshape(-1, WIDE)).sum(axis=1) / np.maximum(unlike, 1e-9) + 0.1)
+    return out
+
+
+def document_vectors(t: Texts, vectors: Vectors) -> np.ndarray:
+    """Mean and deviation of the words' context vectors of each text, and its repetition."""
+    hashes, bounds = words_of(t)
+    row = Vectors.rows(vectors.own, hashes)
+    out, full = np.zeros((t.n, FEATURES)), np.flatnonzero(np.diff(bounds))
     if len(full):
-        pooled[full] = np.add.reduceat(vectors[bucket(hashes)], bounds[full], axis=0, dtype=np.float64) / n[full, None]
-    words = kind == 1
-    distinct = lambda x, d: np.bincount(d[np.unique(mix(x ^ mix(d)), return_index=True)[1]], minlength=t.n)
-    pairs = np.flatnonzero(doc[1:] == doc[:-1])
-    size = np.maximum(np.diff(t.offsets), 1)
-    rates = [
-        distinct(hashes, doc) / n,
-        distinct(hashes[pairs] * np.uint64(3) + hashes[pairs + 1], doc[pairs]) / np.maximum(np.bincount(doc[pairs], minlength=t.n), 1),
-        sums_of(~words, bounds) / n,
-        sums_of(length * words, bounds) / np.maximum(sums_of(words, bounds), 1) / 10,
-        t.count(UPPER[t.data]) / size,
-        t.count(DIGIT[t.data]) / size,
-        t.count(CLASS[t.data] == 2) / size,
-        np.log1p(np.diff(bounds)) / 10,
-    ]
-    return np.concatenate([pooled, np.stack(rates, axis=1)], axis=1)
+        n = np.diff(bounds)[full, None]
+        for k in range(DIM):  # a component at a time: words times components would be large
+            x = vectors.units[:, k][row].astype(float)
+            mean = np.add.reduceat(x, bounds[full]) / n[:, 0]
+            out[full, k] = mean
+            out[full, DIM + k] = np.sqrt(np.maximum(np.add.reduceat(x * x, bounds[full]) / n[:, 0] - mean * mean, 0))
+        out[full, 2 * DIM] = repetition(hashes, vectors.weights[row], bounds)[full]
+    return out
 
 
 class Network:
@@ -154,34 +209,34 @@ def fit(x: np.ndarray, y: np.ndarray, totals: list[int], hidden: int = 16, steps
     return Network(mean, scale, *p, min(np.geomspace(0.25, 8, 60).tolist(), key=loss))
 
 
-def vectors_of(rows: DataFrame, table: np.ndarray, net: Network | None) -> DataFrame:
+def vectors_of(rows: DataFrame, vectors: Vectors, net: Network | None) -> DataFrame:
     """Rows with ``text``: in its place ``vector`` (no network) or ``score``."""
     bound_batches(rows.sparkSession)
-    shared = rows.sparkSession.sparkContext.broadcast((table, net and net.parts))
+    shared = rows.sparkSession.sparkContext.broadcast((vectors.own, vectors.units, vectors.weights, net and net.parts))
     names = [c for c in rows.columns if c not in ("text", "score" if net else "vector")]
     last = T.StructField("score", T.DoubleType()) if net else T.StructField("vector", T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, parts = shared.value
+        *table, parts = shared.value
         for batch in batches:
             for part, t in pieces(batch, "text"):
-                x = document_vectors(t, vectors)
+                x = document_vectors(t, Vectors(*table))
                 out = pa.array(Network(*parts).scores(x)) if parts else pa.array(list(x), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), out], names=[*names, last.name])
 
     return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in names), last]))
 
 
-def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, fold: int = 0, per_class: int = 4096) -> tuple[np.ndarray, Network]:
+def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, fold: int = 0, per_class: int = 4096) -> tuple[Vectors, Network]:
     """docs: doc_id, text. labels: doc_id, quality. Word vectors from all documents, the network from at most
     ``per_class`` labelled documents of each kind."""
-    table = context_vectors(docs)
+    vectors = context_vectors(docs)
     rows, totals = training_rows(docs, labels, "quality", modulus, fold, per_class)
-    got = vectors_of(rows.select("label", "text"), table, None).toArrow()
-    x = np.array(got.column("vector").to_pylist(), float).reshape(got.num_rows, -1) if got.num_rows else np.zeros((0, DIM + 8))
-    return table, fit(x, got.column("label").to_numpy(), totals)
+    got = vectors_of(rows.select("label", "text"), vectors, None).toArrow()
+    x = np.array(got.column("vector").to_pylist(), float).reshape(got.num_rows, -1) if got.num_rows else np.zeros((0, FEATURES))
+    return vectors, fit(x, got.column("label").to_numpy(), totals)
 
 
-def score(docs: DataFrame, table: np.ndarray, net: Network) -> DataFrame:
+def score(docs: DataFrame, vectors: Vectors, net: Network) -> DataFrame:
     """The documents with ``score``, the probability of good quality, in place of ``text`` and of any ``score``."""
-    return vectors_of(docs, table, net)
+    return vectors_of(docs, vectors, net)

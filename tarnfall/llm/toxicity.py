@@ -5,7 +5,8 @@ difference of the model's logit between a text and its swapped copy is a penalty
 has picked up from the company it keeps is thereby taken off, and neutral mentions stop being false positives.
 
 The model is fitted on a bounded sample of labelled rows (``per_class`` of each label); features are chosen by how much
-more often they occur in one class. Every text is scored whole: the sum of the weights of the distinct features in it.
+more often they occur in one class. Texts without identity terms have no swaps: on a corpus that has none the penalty does
+nothing, and the model is a plain sparse logistic one (``Model.swapped`` counts the texts that had any). Every text is scored whole: the sum of the weights of the distinct features in it.
 
 Defined results: null and empty texts get the score of no feature at all. Without labels of both kinds the score is the
 share of toxic labels (0 without any). Repeated rows and null ids are scored like any other. Labels, language, source and
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnfall.llm.labels import training_rows
-from tarnfall.llm.shared import bound_batches
+from tarnfall.llm.shared import bound_batches, saved
 from tarnfall.llm.textkernel import Texts, mix, pieces, texts_of
 
 BEGINNINGS = (4, 5, 6, 8)
@@ -39,18 +40,44 @@ IDENTITIES = (
     ("menschen", "frauen", "männer", "muslime", "christen", "juden", "ausländer", "flüchtlinge", "schwule"),
     ("personas", "mujeres", "hombres", "musulmanes", "cristianos", "judíos", "inmigrantes", "negros", "gays"),
 )
-GROUP_OF = {term: group for group in reversed(IDENTITIES) for term in group[1:]}
-TERM = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, GROUP_OF), key=len, reverse=True)) + r")(?!\w)", re.IGNORECASE)
+MOST_TERMS = 10_000
 
 
-def swapped(text: str, by: int) -> str:
-    """The text with each identity term replaced: by the neutral word (0), or by the term so many places on in its group."""
+class Swaps:
+    """Replaces the identity terms of a text by another of their group."""
 
-    def other(m: re.Match) -> str:
-        group = GROUP_OF[m[0].lower()]
-        return group[0] if not by else group[1 + (group.index(m[0].lower()) - 1 + by) % (len(group) - 1)]
+    def __init__(self, groups: tuple[tuple[str, ...], ...] = IDENTITIES):
+        self.group_of = {term.lower(): group for group in reversed(groups) for term in group[1:]}
+        terms = sorted(map(re.escape, self.group_of), key=len, reverse=True)
+        self.term = re.compile(r"(?<!\w)(" + "|".join(terms) + r")(?!\w)" if terms else r"(?!)", re.IGNORECASE)
 
-    return TERM.sub(other, text)
+    def __call__(self, text: str, by: int) -> str:
+        """Each term gives way to the neutral word (0), or to the term so many places on in its group."""
+
+        def other(m: re.Match) -> str:
+            group = self.group_of.get(m[0].lower())
+            if group is None:  # a letter whose lower case is another in this context
+                return m[0]
+            place = [x.lower() for x in group].index(m[0].lower(), 1)
+            return group[0] if not by else group[1 + (place - 1 + by) % (len(group) - 1)]
+
+        return self.term.sub(other, text)
+
+    def copies(self, text: str, swaps: int) -> list[str]:
+        """The swapped copies of a text; none if it has no term."""
+        return [self(text, k) for k in range(swaps)] if self.term.search(text) else []
+
+
+def groups_of(terms: DataFrame) -> tuple[tuple[str, ...], ...]:
+    """Identity terms from a table of your own: grp, place, term. Of each group the term of the least place is its neutral
+    word. At most ``MOST_TERMS`` rows, as they become one pattern."""
+    rows = terms.select("grp", "place", "term").where("term is not null").limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"over {MOST_TERMS} identity terms")
+    found: dict[str, list[tuple[int, str]]] = {}
+    for r in rows:
+        found.setdefault(str(r.grp), []).append((r.place, r.term))
+    return tuple(tuple(term for _, term in sorted(found[g])) for g in sorted(found))
 
 
 def features(t: Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -70,26 +97,58 @@ def distinct_features(text: str) -> np.ndarray:
     return np.unique(np.concatenate([h for h, _ in features(texts_of(pa.array([text])))]))
 
 
-def sample_features(rows: DataFrame, swaps: int) -> pa.Table:
-    """label, and the distinct features of each labelled text and of its swapped copies (none without identity terms)."""
+def sample_features(rows: DataFrame, groups: tuple[tuple[str, ...], ...], swaps: int) -> DataFrame:
+    """label, and sets: the distinct features of each labelled text and of its swapped copies. Saved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        swap = Swaps(groups)
         for batch in batches:
             for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                texts = [text or ""]
-                if TERM.search(texts[0]):
-                    texts += [swapped(texts[0], k) for k in range(swaps)]
-                sets = [distinct_features(x).view(np.int64) for x in texts]
+                sets = [distinct_features(x).view(np.int64) for x in (text or "", *swap.copies(text or "", swaps))]
                 yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([sets], pa.list_(pa.list_(pa.int64())))], names=["label", "sets"])
 
-    return rows.select("label", "text").mapInArrow(run, "label int, sets array<array<long>>").toArrow()
+    return saved(rows.select("label", "text").mapInArrow(run, "label int, sets array<array<long>>"), "features")
+
+
+def chosen_features(sample: DataFrame, least_docs: int = 3, least_z: float = 3.5, most_features: int = 20_000) -> np.ndarray:
+    """Sorted hashes of the features whose shares of the two labels' texts differ most; counted in Spark."""
+    n = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return np.zeros(0, np.uint64)
+    counts = sample.select("label", F.explode(F.col("sets")[0]).alias("feature")).groupBy("feature").agg(F.sum("label").alias("bad"), F.count("*").alias("docs"))
+    share = F.col("docs") / F.lit(n[0] + n[1])
+    spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * F.lit(1 / n[0] + 1 / n[1]))
+    z = F.abs((F.col("bad") / F.lit(n[1]) - (F.col("docs") - F.col("bad")) / F.lit(n[0])) / spread)
+    top = counts.where(F.col("docs") >= min(least_docs, *n.values())).withColumn("z", z).where(F.col("z") >= least_z)
+    keys = top.orderBy(F.desc("z"), "feature").limit(most_features).select("feature").toArrow()
+    return np.sort(keys.column("feature").to_numpy().view(np.uint64))
+
+
+def chosen_only(sample: DataFrame, keys: np.ndarray) -> pa.Table:
+    """label, and sets of the places of the chosen features in ``keys``."""
+    shared = sample.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("sets")
+            inner = lists.flatten()
+            flat = inner.flatten().to_numpy().view(np.uint64)
+            place = np.searchsorted(shared.value, flat)
+            hit = (shared.value[np.minimum(place, max(len(shared.value) - 1, 0))] == flat) if len(shared.value) else np.zeros(len(flat), bool)
+            sums = np.concatenate([[0], np.cumsum(hit)])
+            bounds = sums[np.concatenate([[0], np.cumsum(inner.value_lengths().to_numpy())]).astype(np.int64)]
+            sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(place[hit], pa.int32()))
+            outer = pa.array(np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(outer, sets)], names=["label", "sets"])
+
+    return sample.mapInArrow(run, "label int, sets array<array<int>>").toArrow()
 
 
 class Model:
-    """Sorted feature hashes with weights, and the bias."""
+    """Sorted feature hashes with weights, and the bias; ``swapped`` counts the fitted texts that had an identity term."""
 
-    def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float):
-        self.keys, self.weights, self.bias = keys, weights, bias
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float, swapped: int = 0):
+        self.keys, self.weights, self.bias, self.swapped = keys, weights, bias, swapped
         self.sieve = np.zeros(1 << 20, bool)  # lets almost no feature without a weight through to the exact search
         self.sieve[keys & np.uint64(len(self.sieve) - 1)] = True
 
@@ -112,7 +171,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(sample: pa.Table, totals: list[int], penalty: float, least_docs: int = 3, least_z: float = 3.5, most_features: int = 20_000, steps: int = 400, ridge: float = 0.02) -> Model:
+def fit(sample: pa.Table, keys: np.ndarray, totals: list[int], penalty: float, steps: int = 400, ridge: float = 0.02) -> Model:
     """Adam on the weighted log loss, plus ridge, plus ``penalty`` times the mean squared logit change of the swaps."""
     labels = sample.column("label").to_numpy().astype(np.int64)
     if len(set(labels.tolist())) < 2:
@@ -121,30 +180,19 @@ def fit(sample: pa.Table, totals: list[int], penalty: float, least_docs: int = 3
     lists = sample.column("sets").combine_chunks()
     copies = lists.value_lengths().to_numpy()
     sets = lists.flatten()
-    flat, size = sets.flatten().to_numpy().view(np.uint64), sets.value_lengths().to_numpy()
+    col, size = sets.flatten().to_numpy(), sets.value_lengths().to_numpy()
     row = np.repeat(np.arange(len(size)), size)
     first = np.cumsum(copies) - copies
     original = np.zeros(len(size), bool)
     original[first] = True
     doc = np.repeat(np.arange(len(labels)), copies)
-    keys, at = np.unique(flat, return_inverse=True)
     n = np.array([(labels == c).sum() for c in (0, 1)])
-    own = original[row]
-    df = np.stack([np.bincount(at[own & (labels[doc[row]] == c)], minlength=len(keys)) for c in (0, 1)])
-    share = df.sum(axis=0) / n.sum()
-    z = (df[1] / n[1] - df[0] / n[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n[0] + 1 / n[1]))
-    chosen = np.flatnonzero((df.sum(axis=0) >= min(least_docs, n.min())) & (np.abs(z) >= least_z))
-    chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:most_features]])
-    column = np.full(len(keys), -1)
-    column[chosen] = np.arange(len(chosen))
-    keep = column[at] >= 0
-    col, row = column[at[keep]], row[keep]
     weight = (np.array(totals) / n)[labels]
     weight /= weight.sum()
     swap = np.flatnonzero(~original)
     source = first[doc[swap]]
-    w, bias = np.zeros(len(chosen)), float(np.log(totals[1] / totals[0]))
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    w, bias = np.zeros(len(keys)), float(np.log(totals[1] / totals[0]))
+    m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     for step in range(1, steps + 1):
         logit = bias + np.bincount(row, w[col], minlength=len(size))
         grad = np.zeros(len(size))
@@ -157,21 +205,25 @@ def fit(sample: pa.Table, totals: list[int], penalty: float, least_docs: int = 3
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
-    return Model(keys[chosen], w, bias)
+    return Model(keys, w, bias, int((copies > 1).sum()))
 
 
-def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, fold: int = 2, per_class: int = 4096, penalty: float = 1.0, swaps: int = 3) -> Model:
-    """docs: doc_id, text. labels: doc_id, toxic. The sample of at most 2 * per_class texts' features goes to the driver."""
+def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, fold: int = 2, per_class: int = 4096, penalty: float = 1.0, swaps: int = 3, terms: DataFrame | None = None) -> Model:
+    """docs: doc_id, text. labels: doc_id, toxic. terms: identity terms of your own (see :func:`groups_of`), else
+    ``IDENTITIES``. Of the sample of at most 2 * per_class texts the driver gets the chosen features only."""
     bound_batches(docs.sparkSession)
     rows, totals = training_rows(docs, labels, "toxic", modulus, fold, per_class)
-    return fit(sample_features(rows, swaps), totals, penalty)
+    sample = sample_features(rows, IDENTITIES if terms is None else groups_of(terms), swaps)
+    keys = chosen_features(sample)
+    return fit(chosen_only(sample, keys), keys, totals, penalty)
 
 
-def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """The documents with ``column``, the probability of toxicity, in place of ``text`` and of any column of that name."""
+def score(docs: DataFrame, model: Model, column: str = "score", keep_text: bool = False) -> DataFrame:
+    """The documents with ``column``, the probability of toxicity, in place of any column of that name and, unless it is
+    kept, of ``text``."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.bias))  # at most most_features keys
-    names = [c for c in docs.columns if c not in ("text", column)]
+    names = [c for c in docs.columns if c != column and (keep_text or c != "text")]
     loaded: list[Model] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,5 +237,4 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The documents scored below the threshold, all columns."""
-    scored = score(docs.withColumn("__text", F.col("text")), model, "__score")
-    return scored.where(F.col("__score") < threshold).withColumnRenamed("__text", "text").select(docs.columns)
+    return score(docs, model, "__score", keep_text=True).where(F.col("__score") < threshold).select(docs.columns)
