@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfall.llm.shared import saved
+from tarnfall.llm.representatives import text_keys
+from tarnfall.llm.shared import saved, unfolded
 from tarnfall.llm.textkernel import mix as scramble
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 32
-KEY = ("doc_id", "source", "size", "crc")
+KEY = ("doc_id", "source", "size", "one", "two")
 
 
 def permute(x: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
@@ -92,7 +93,7 @@ def slot_plan(size: int, target: float, length: int, source: int, seed: int, mos
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
+    return F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))).cast("long")
 
 
 class Mix:
@@ -100,7 +101,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, length: int = 512, seed: int = 7, shard_slots: int = 4096, max_shards: int = 4096):
         self.spark, self.length, self.seed = docs.sparkSession, length, seed
-        rows = docs.select("doc_id", "source", F.when(F.col("text").isNull(), F.lit(0)).otherwise(word_count(F.col("text"))).cast("long").alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(-1)).alias("crc"))
+        rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *(c.alias(name[2:]) for name, c in text_keys().items()))
         rows = saved(rows.groupBy(*KEY).agg(F.count("*").alias("n")), "sizes")
         found = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")).collect()  # a row for each source
         found.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
@@ -117,7 +118,7 @@ class Mix:
         """Every row (repeats unfolded) with idx, source_size, target and offset in its source's stream."""
         sources = (F.broadcast(self.sources) if len(self.sizes) <= 20_000 else self.sources).withColumnRenamed("source", "name")
         rows = rows.join(sources, rows["source"].eqNullSafe(F.col("name"))).drop("name")
-        h = F.xxhash64("doc_id", "size", "crc")
+        h = F.xxhash64("doc_id", "size", "one", "two")
         rows = rows.withColumn("h", h).withColumn("upper", F.pmod("h", F.lit(256)).cast("int")).withColumn("lower", F.pmod(F.shiftright("h", 8), F.lit(256)).cast("int"))
         cells = saved(rows.groupBy("idx", "upper", "lower").agg(F.sum(F.col("size") * F.col("n")).alias("words")), "cells")
         before = lambda w: F.coalesce(F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -127,7 +128,8 @@ class Mix:
         inside = Window.partitionBy("idx", "upper", "lower").orderBy("h", *KEY).rowsBetween(Window.unboundedPreceding, -1)
         first = F.col("start") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0))
         placed = rows.join(starts, ["idx", "upper", "lower"]).withColumn("first", first)
-        return placed.select(*KEY, "idx", "source_size", "target", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy")).withColumn("offset", F.col("first") + F.col("copy") * F.col("size")).drop("first")
+        placed = saved(placed.select(*KEY, "idx", "source_size", "target", "first", "n"), "placed")
+        return unfolded(placed, "n", "copy").withColumn("offset", F.col("first") + F.col("copy") * F.col("size")).drop("first", "n")
 
     def slots(self) -> DataFrame:
         """shard, idx, slot, turn, block, take: every slot with its block and the words taken of it from its start."""
@@ -178,14 +180,18 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents, in the columns of ``docs``: for each pass that takes words of a document one row with these
     words; the text as it is where all are taken, else the taken words joined by spaces. ``n_chars`` follows the text."""
     mixed = Mix(docs, **options)
-    runs = mixed.taken().where("words > 0").groupBy(*KEY, "copy", "turn").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("from", "words"))).alias("runs"))
-    runs = runs.select(*(F.col(c).alias(f"__{c}") for c in KEY), "taken", "runs")
-    keyed = docs.withColumns({"__size": word_count(F.col("text")), "__crc": F.crc32(F.col("text").cast("binary"))}).where("__size > 0")
-    keyed = keyed.dropDuplicates(["doc_id", "source", "__size", "__crc"])
-    same = (keyed["doc_id"].eqNullSafe(runs["__doc_id"])) & (keyed["source"].eqNullSafe(runs["__source"])) & (keyed["__size"] == runs["__size"]) & (keyed["__crc"] == runs["__crc"])
+    pieces = F.array_sort(F.collect_list(F.struct("from", "words")))
+    runs = mixed.taken().where("words > 0").groupBy(*KEY, "copy", "turn").agg(F.sum("words").alias("taken"), pieces.alias("runs"))
+    runs = runs.select(*(F.col(c).alias(f"__mix_{c}") for c in (*KEY, "taken", "runs")))
+    own = {"__size": word_count(F.col("text"))} | text_keys()
+    keyed = docs.withColumns({f"__own{name[1:]}": c for name, c in own.items()}).where("__own_size > 0")
+    keyed = keyed.dropDuplicates(["doc_id", "source", "__own_size", "__own_one", "__own_two"])
+    same = keyed["doc_id"].eqNullSafe(F.col("__mix_doc_id")) & keyed["source"].eqNullSafe(F.col("__mix_source"))
+    for c in ("size", "one", "two"):
+        same = same & (F.col(f"__own_{c}") == F.col(f"__mix_{c}"))
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(words, (r["from"] + 1).cast("int"), r["words"].cast("int")))), " ")
-    text = F.when(F.col("taken") == runs["__size"], F.col("text")).otherwise(some)
+    some = F.array_join(F.flatten(F.transform("__mix_runs", lambda r: F.slice(words, (r["from"] + 1).cast("int"), r["words"].cast("int")))), " ")
+    text = F.when(F.col("__mix_taken") == F.col("__mix_size"), F.col("text")).otherwise(some)
     out = keyed.join(runs, same).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -21,7 +21,7 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfall.llm.shared import saved
+from tarnfall.llm.shared import saved, unfolded
 
 
 def ring(shards: int, replicas: int, cells: int) -> list[list[int]]:
@@ -79,7 +79,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, replicas: int = 64, cells: int
     dealt = json.dumps([dict(zip(("cell", "low", "high", "shard", "first"), x, strict=True)) for x in deal(counts, shards, replicas, cells, slack)])
     ranges = spark.range(1).select(F.inline(F.from_json(F.lit(dealt), schema)))
     before = F.sum("n").over(Window.partitionBy("cell").orderBy("h", *names).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = keys.withColumn("start", F.coalesce(before, F.lit(0)))
-    ranked = ranked.select(*names, "cell", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("rank"))
+    ranked = saved(keys.select(*names, "cell", "n", F.coalesce(before, F.lit(0)).alias("start")), "ranked")
+    ranked = unfolded(ranked, "n", "copy").select(*names, "cell", (F.col("start") + F.col("copy")).alias("rank"))
     mine = (F.col("r.cell") == F.col("k.cell")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
     return ranked.alias("k").join(F.broadcast(ranges).alias("r"), mine).select(*names, "shard", (F.col("first") + F.col("rank") - F.col("low")).alias("slot"))

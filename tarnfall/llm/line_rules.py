@@ -2,9 +2,10 @@
 
 Every document is tokenised once: its own counts, and a hash with word count for each of its normalised lines (words in
 lower case A-Z joined by one space). Lines of one host that occur in more than ``max(min_docs, max_share * documents of
-the host)`` of its documents with different texts are boilerplate; a document with less than ``keep_share`` of its words
-left without them is depleted and rejected. :func:`line_rules` counts their words, :func:`keep_good` returns whole texts,
-:func:`keep_clean` returns the texts without these lines.
+the host)`` of its documents with different texts are boilerplate. Copies of one text are one document here: otherwise a
+text that is copied often enough would be its own boilerplate, and its first copy would be rejected with all others. A
+document with less than ``keep_share`` of its words left without them is depleted and rejected. :func:`line_rules` counts
+their words, :func:`keep_good` returns whole texts, :func:`keep_clean` returns the texts without these lines.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept. Null hosts form one host.
 Repeated rows come back as often as they occur; equal texts count once for a line. An empty table gives an empty result.
@@ -13,6 +14,7 @@ Extra columns are ignored by :func:`line_rules` and kept by :func:`keep_good` an
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from tarnfall.llm.textkernel import SPACE, Texts, SpanHash, mix, pieces, sums_of
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-PROFILE = "host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_hashes array<long>, line_words array<int>"
+PROFILE = "__row long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_hashes array<long>, line_words array<int>"
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:
@@ -80,19 +82,22 @@ def profile(t: Texts, width: int) -> dict[str, object]:
 
 
 def profiles(docs: DataFrame, width: int, carry: list[str]) -> DataFrame:
-    """One row for each document, without its text; with the carried columns."""
+    """One row for each document, without its text; with the carried columns and ``__row``, a number of its own (drawn at
+    random for each task, so it is fixed once the table is saved)."""
     bound_batches(docs.sparkSession)
     schema = T.StructType([*docs.select(*carry).schema, *T.StructType.fromDDL(PROFILE)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = uuid.uuid4().int >> 66
         for batch in batches:
             for part, t in pieces(batch, "text"):
                 p = profile(t, width)
+                p["row"], row = np.arange(row, row + t.n), row + t.n
                 offsets = pa.array(p["line_bounds"], pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(p[k])) for k in ("line_hashes", "line_words")]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in carry), part.column("host"), *(pa.array(p[k], pa.int64()) for k in ("text_hash", *COUNTS)), *lists],
-                    names=[*carry, "host", "text_hash", *COUNTS, "line_hashes", "line_words"],
+                    [*(part.column(c) for c in carry), pa.array(p["row"]), part.column("host"), *(pa.array(p[k], pa.int64()) for k in ("text_hash", *COUNTS)), *lists],
+                    names=[*carry, "__row", "host", "text_hash", *COUNTS, "line_hashes", "line_words"],
                 )
 
     return docs.mapInArrow(run, schema)
@@ -116,11 +121,6 @@ def boilerplate(lines: DataFrame, min_docs: int, max_share: float, max_docs: int
     return found.alias("f").join(hosts.alias("h"), F.col("f.host").eqNullSafe(F.col("h.host"))).where(over).select("f.host", "line")
 
 
-def frequent_lines(lines: DataFrame, min_docs: int, max_share: float) -> DataFrame:
-    """Per host, the hashes of its boilerplate lines: at most (lines per document / max_share) of them for each host."""
-    return boilerplate(lines, min_docs, max_share).groupBy("host").agg(F.collect_list("line").alias("frequent"))
-
-
 def base_fails(min_words: int, repeat_percent: int) -> Column:
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
 
@@ -133,15 +133,15 @@ def line_rules(docs: DataFrame, width: int = 5, min_words: int = 10, repeat_perc
     words in repeated windows.
     """
     lines = saved(profiles(docs.select(*carry, "text", F.col("source").alias("host")), width, list(carry)), "profiles")
-    frequent = saved(frequent_lines(lines, min_docs, max_share), "frequent")
-    marked = lines.alias("l").join(broadcast_if_small(frequent).alias("f"), F.col("l.host").eqNullSafe(F.col("f.host")), "left")
-    removed = F.expr("""
-        coalesce(if(frequent is null, 0, aggregate(arrays_zip(line_hashes, line_words), 0L, (n, x) ->
-            n + if(array_contains(frequent, x.line_hashes), cast(x.line_words as long), 0L))), 0L)""")
+    often = broadcast_if_small(saved(boilerplate(lines, min_docs, max_share), "often"), 200_000)
+    each = lines.select("__row", "host", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("x")).select("__row", "host", F.col("x.line_hashes").alias("line"), F.col("x.line_words").alias("words"))
+    removed = each.alias("e").join(often.alias("o"), F.col("e.host").eqNullSafe(F.col("o.host")) & (F.col("e.line") == F.col("o.line")), "left_semi")
+    removed = removed.groupBy("__row").agg(F.sum("words").cast("long").alias("boilerplate_words"))
+    marked = lines.join(removed, "__row", "left")
     failed = base_fails(min_words, repeat_percent)
     left = F.col("n_words") - F.col("boilerplate_words")
     return (
-        marked.select(*carry, *COUNTS, removed.alias("boilerplate_words"))
+        marked.select(*carry, *COUNTS, F.coalesce("boilerplate_words", F.lit(0).cast("long")).alias("boilerplate_words"))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (left >= keep_share * F.col("n_words")))
     )
@@ -195,7 +195,7 @@ def keep_clean(docs: DataFrame, width: int = 5, min_words: int = 10, repeat_perc
     bad = lines.where(base_fails(min_words, repeat_percent)).select(*keys).distinct()
     has = saved(has.join(bad, list(keys), "left_anti"), "has")
     plain = keyed.join(bad.unionByName(has.select(*keys)), list(keys), "left_anti").select(docs.columns)
-    marked = keyed.join(broadcast_if_small(has), list(keys)).select(*docs.columns, "__gone")
+    marked = keyed.join(broadcast_if_small(has, width=8 * F.size("__gone") + 96), list(keys)).select(*docs.columns, "__gone")
     bound_batches(docs.sparkSession)
     out = T.StructType([*marked.drop("text", "__gone").schema, *T.StructType.fromDDL("text string, __clean string, __words long, __left long")])
 

@@ -73,6 +73,16 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, most: i
     return rows.join(top, key).unionByName(rest.join(groups, key))
 
 
+def unfolded(rows: DataFrame, times: str, name: str, step: int = 1 << 16) -> DataFrame:
+    """Each row ``times`` times, numbered from 0 as ``name``. rows: saved, as rows repeated more than ``step`` times are
+    dealt out again, so that no task unfolds one of them alone."""
+    at, last = F.lit(0).cast("long"), F.col(times) - 1
+    few = rows.where(F.col(times) <= step).withColumn(name, F.explode(F.sequence(at, last)))
+    many = rows.where(F.col(times) > step).withColumn("__at", F.explode(F.sequence(at, last, F.lit(step).cast("long"))))
+    many = many.repartition(*many.columns).withColumn(name, F.explode(F.sequence("__at", F.least(last, F.col("__at") + (step - 1))))).drop("__at")
+    return few.unionByName(many)
+
+
 def bound_batches(spark: SparkSession, megabytes: int = 16) -> None:
     """Arrow batches sent to Python hold at most so many MB, whatever the length of the texts. The setting is read when a
     query starts, so it stays in the session; a smaller one that the session has is left alone."""

@@ -90,7 +90,8 @@ def count_tokens(files: DataFrame, separator: int, block_bytes: int = 4 << 20) -
         "file", "at", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first_ordinal"), F.coalesce(F.max("last").over(earlier), F.lit(-1)).alias("carry"),
         (F.lead("at").over(Window.partitionBy("file").orderBy("at")).isNull()).alias("final"),
     )
-    stitched = scanned.join(carried, ["file", "at"])
+    tasks = max(spark.sparkContext.defaultParallelism, 1) * 4  # a row is a block with all of its separators
+    stitched = scanned.join(carried, ["file", "at"]).repartition(tasks, "file", "at")
     after = F.coalesce(F.try_element_at("found", F.lit(-1)), F.col("carry"))
     open_end = F.when(F.col("final") & (after < F.col("end") - 1), F.array(F.col("end")))
     ends = F.concat("found", F.coalesce(open_end, F.array().cast("array<long>")))
