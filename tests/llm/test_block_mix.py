@@ -1,10 +1,13 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarnfall.llm import block_mix
+from tarnfall.llm.representatives import text_keys
+from tarnfall.llm.textkernel import mix as scramble
 
 
 def size_of(text):
@@ -76,6 +79,60 @@ def test_mixed_odd_documents(odd_docs, no_docs):
     assert block_mix.mix_documents(no_docs).count() == 0
 
 
+def test_clashing_names_and_null_ids(spark):
+    """Documents' columns named like the operator's own; unlike texts of one size under null and repeated ids."""
+    rows = [(None, f"text number {k} of null ids", "s", 1, [2], 3) for k in range(50)] + [(7, f"text {k} of one id", "s", 4, None, 6) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, taken int, runs array<int>, size int")
+    docs = docs.withColumns({"one": F.lit(1), "copy": F.lit("c"), "turn": F.lit(0), "idx": F.lit(5), "offset": F.lit(9)})
+    out = block_mix.mix_documents(docs, length=8).collect()
+    got = Counter(w for r in out for w in r.text.split())
+    texts = Counter(w for r in docs.collect() for w in r.text.split())
+    assert sum(got.values()) == int(1.5 * sum(texts.values()) + 0.5) and all(got[w] <= 2 * n for w, n in texts.items())
+    assert {r.text for r in out if r.doc_id is None} >= {f"text number {k} of null ids" for k in range(50)}
+    assert all(r.taken in (1, 4) and r.copy == "c" for r in out)
+
+
+def plain_permute(x, n, key):
+    for r in range(block_mix.ROUNDS):
+        k = int(scramble(np.array([(r + key) % 2**64], np.uint64))[0])
+        other = (k % n - x) % n
+        if int(scramble(np.array([max(x, other) ^ k], np.uint64))[0]) & 1:
+            x = other
+    return x
+
+
+def plain_taken(docs, length, seed=7, share=1.5, most=2.0):
+    """Words taken of each row: a source's words in a row, block by block, slot by slot, word by word."""
+    h = F.xxhash64("doc_id", "size", "one", "two")
+    keyed = docs.select("doc_id", "source", block_mix.word_count(F.col("text")).alias("size"), *(c.alias(n[2:]) for n, c in text_keys().items())).withColumn("h", h)
+    by = defaultdict(list)
+    for r in keyed.collect():
+        by[r.source].append(r)
+    order = sorted(by, key=lambda s: (s is None, (s or "").encode()))
+    due = plain_targets([sum(r["size"] for r in by[s]) for s in order], share=share, most=most)
+    out = []
+    for idx, s in enumerate(order):
+        rows = sorted(by[s], key=lambda r: (r.h % 256, (r.h >> 8) % 256, r.h, str(r.doc_id)))
+        owner = [k for k, r in enumerate(rows) for _ in range(r["size"])]
+        blocks, goal = -(-len(owner) // length), min(int(due[idx] + 0.5), int(most * len(owner)))
+        taken, slot = [0] * len(rows), 0
+        while goal:
+            b = plain_permute(slot % blocks, blocks, block_mix.pass_key(seed, idx, slot // blocks))
+            for k in owner[b * length : (b + 1) * length][:goal]:
+                taken[k] += 1
+                goal -= 1
+            slot += 1
+        out += [(str(r.doc_id), r["size"], n) for r, n in zip(rows, taken, strict=True)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("length", [16, 512])
+def test_taken_word_by_word(spark, sf_dir, odd_docs, length):
+    for docs in (spark.read.parquet(f"{sf_dir}/documents.parquet"), odd_docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"])):
+        got = sorted((str(r.doc_id), r["size"], r.taken) for r in block_mix.Mix(docs, length=length).by_document().collect())
+        assert got == plain_taken(docs, length)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 4096])
 def test_permutation(n):
     x = np.arange(n)

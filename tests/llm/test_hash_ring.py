@@ -2,8 +2,10 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnfall.llm import hash_ring
+from tarnfall.llm.shared import unfolded
 
 
 def check(docs, **options):
@@ -63,3 +65,53 @@ def test_the_ring_is_walked_clockwise():
         taken[shard] += high - low
     assert taken == {0: 3, 1: 3, 2: 3, 3: 3}
     assert dealt[0][3] == orders[5][0]
+
+
+def plain_shards(docs, shards=8, replicas=64, cells=16384):
+    """Shard and slot of each row: rows wait in their cells in the order of their hashes, and turn by turn each goes to the
+    next shard clockwise if that has room."""
+    names = ["doc_id", "size", "text_crc32"]
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size")
+    rows = docs.select("doc_id", size, F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"))
+    rows = rows.withColumn("h", F.xxhash64(*names)).collect()
+    orders = hash_ring.ring(shards, replicas, cells)
+    key = lambda r: (r.h % cells, r.h, r.doc_id is not None, r.doc_id or 0, r["size"], r.text_crc32)
+    waiting, filled, out = sorted(rows, key=key), [0] * shards, []
+    room = [len(rows) // shards + (k < len(rows) % shards) for k in range(shards)]
+    for turn in range(shards):
+        beyond = []
+        for r in waiting:
+            shard = orders[r.h % cells][turn]
+            if filled[shard] < room[shard]:
+                out.append((r.doc_id, r["size"], r.text_crc32, shard, filled[shard]))
+                filled[shard] += 1
+            else:
+                beyond.append(r)
+        waiting = beyond
+    return out
+
+
+def test_each_row_like_a_plain_ring(spark, sf_dir, odd_docs):
+    """Rows that repeat each other may take each other's places."""
+    copies = spark.range(500).selectExpr("if(id < 200, 7, id) as doc_id", "if(id < 200, 'copy', string(id)) as text")
+    for docs in (spark.read.parquet(f"{sf_dir}/documents.parquet"), odd_docs, copies):
+        for shards in (8, 3):
+            got = [(r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in hash_ring.shard_rows(docs, shards=shards).collect()]
+            assert sorted(map(str, got)) == sorted(map(str, plain_shards(docs, shards)))
+
+
+def test_movement_of_the_even_deal(spark):
+    """Without slack every shard is full, so one more shard also moves rows between the others; less than half of all."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    place = lambda n: {(r.doc_id, r.text_crc32): r.shard for r in hash_ring.shard_rows(docs, shards=n).collect()}
+    before, after = place(8), place(9)
+    moved, new = [k for k in before if before[k] != after[k]], sum(s == 8 for s in after.values())
+    print("moved", len(moved), "of", len(before), "into the new shard", new)
+    assert new == len(before) // 9 + (len(before) % 9 > 8) and new <= len(moved) < 0.5 * len(before)
+
+
+def test_a_row_repeated_very_often(spark):
+    """Unfolded in parts of so many rows."""
+    rows = spark.createDataFrame([("a", 10), ("b", 1), ("c", 4)], "k string, n long")
+    got = sorted((r.k, r.copy) for r in unfolded(rows, "n", "copy", step=4).collect())
+    assert got == [(k, c) for k, n in (("a", 10), ("b", 1), ("c", 4)) for c in range(n)]

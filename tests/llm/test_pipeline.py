@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from test_block_mix import size_of
 from test_line_rules import plain_verdicts
-from test_simhash_trie import plain_components, plain_fingerprint
+from test_near_copies import plain_kept
 
 import corpus_pipeline
 from tarnfall.llm import block_mix, toxicity
@@ -49,9 +49,17 @@ def test_toxicity(spark, stages):
 
 
 def test_near_duplicates(stages):
-    prints = {r.doc_id: plain_fingerprint(r.text) for r in stages[2].collect()}
-    least = plain_components(prints, 4)
-    assert sorted(r.doc_id for r in stages[3].select("doc_id").collect()) == sorted({*least.values()}) and len({*least.values()}) < len(least)
+    """The least ids of what pairs of a five-word similarity of 0.8 or more connect, over all pairs."""
+    want = plain_kept({r.doc_id: r.text for r in stages[2].collect()})
+    assert {r.doc_id for r in stages[3].select("doc_id").collect()} == want and len(want) < stages[2].count()
+
+
+def test_stage_on_repeated_and_null_ids(spark):
+    a, b = "the first group has these eleven words in each of its rows", "another group with wholly different contents and some more words here"
+    rows = [(1, a), (5, a), (5, b), (None, b), (None, a + " too"), (None, "a text of its own without any id and nothing like it anywhere"), (8, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "web", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == sorted([("1", a), ("5", b), ("None", rows[5][1]), ("8", None)], key=str)
 
 
 def test_mix(stages):
