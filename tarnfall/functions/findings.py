@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -99,28 +100,23 @@ def fingerprint(*parts: Column) -> Column:
 
 def remediation(cwe: Column) -> Column:
     """Advice for the first weakness that has any, else a generic one that refers to all of them."""
-    row = lambda summary, steps, code, refs: F.struct(F.lit(summary).alias("summary"), F.array(*map(F.lit, steps)).alias("steps"), F.lit(code).cast("string").alias("code_suggestion"), refs.alias("references")).cast(REMEDIATION)
-    known = F.filter(cwe, lambda c: c.isin(*ADVICE))
-    out = None
-    for c, (summary, steps, code, ref) in ADVICE.items():
-        value = row(summary, steps, code, F.array(*map(F.lit, [c, *([ref] if ref else [])])))
-        hit = F.get(known, F.lit(0)) == c
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    generic = row("Review the flagged code against the weakness it refers to.", ["Look at the location.", "Apply the usual fix for the weakness."], None, F.coalesce(cwe, F.array().cast("array<string>")))
-    return out.otherwise(generic)
+    table = {
+        c: {"summary": summary, "steps": steps, "code_suggestion": code, "references": [c, *([ref] if ref else [])]}
+        for c, (summary, steps, code, ref) in ADVICE.items()
+    }
+    known = F.array_intersect(cwe, F.array(*map(F.lit, ADVICE)))
+    advice = F.try_element_at(F.from_json(F.lit(json.dumps(table)), f"map<string, {REMEDIATION}>"), F.get(known, F.lit(0)))
+    general = {"summary": "Review the flagged code against the weakness it refers to.", "steps": ["Look at the location.", "Apply the usual fix for the weakness."]}
+    return F.coalesce(advice, F.from_json(F.lit(json.dumps(general)), REMEDIATION).withField("references", F.coalesce(cwe, F.array().cast("array<string>"))))
 
 
 def components(engine: Column, finding_kind: Column) -> Column:
     """What produced a finding of an external engine; all of it must be unchanged before its absence proves a fix."""
-    base = F.array(F.lit(PIPELINE), F.concat(engine, F.lit(":binary")), F.concat(engine, F.lit(":invocation")))
-    more = (
-        F.when(engine == "opengrep", F.array(F.lit("opengrep:ruleset")))
-        .when(engine == "gitleaks", F.array(F.lit("gitleaks:config"), F.lit("gitleaks:effective-ignore")))
-        .when((engine == "trivy") & (finding_kind == "vulnerability"), F.array(F.lit("trivy:checks"), F.lit("trivy:vulnerability-db")))
-        .when(engine == "trivy", F.array(F.lit("trivy:checks")))
-        .otherwise(F.array().cast("array<string>"))
-    )
-    return F.concat(base, more)
+    own = lambda e, *names: [PIPELINE, *(f"{e}:{x}" for x in ("binary", "invocation", *names))]
+    table = {"opengrep": own("opengrep", "ruleset"), "gitleaks": own("gitleaks", "config", "effective-ignore"), "trivy": own("trivy", "checks"), "trivy:vulnerability": own("trivy", "checks", "vulnerability-db")}
+    key = F.when((engine == "trivy") & (finding_kind == "vulnerability"), "trivy:vulnerability").otherwise(engine)
+    found = F.try_element_at(F.from_json(F.lit(json.dumps(table)), "map<string, array<string>>"), key)
+    return F.coalesce(found, F.array(F.lit(PIPELINE), F.concat(engine, F.lit(":binary")), F.concat(engine, F.lit(":invocation"))))
 
 
 def signature(data: str | bytes) -> str:

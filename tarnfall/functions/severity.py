@@ -15,8 +15,8 @@ LEADING_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 def from_score(score: Column) -> Column:
     """Null for a null score."""
-    bands = F.when(score >= 9, "critical").when(score >= 7, "high").when(score >= 4, "medium").when(score > 0, "low").otherwise("info")
-    return F.when(score.isNotNull(), bands)
+    place = (score > 0).cast("int") + (score >= 4).cast("int") + (score >= 7).cast("int") + (score >= 9).cast("int")
+    return F.get(F.array(*map(F.lit, ("info", "low", "medium", "high", "critical"))), place)
 
 
 def leading_number(text: Column) -> Column:
@@ -33,9 +33,12 @@ def from_level(level: Column) -> Column:
 
 
 def normalize(is_secret: Column, live: Column, score: Column, word: Column, level: Column) -> Column:
-    """Secrets first, then a numeric score, the rule's word, the result's level; medium if there is nothing."""
+    """Secrets first, then a numeric score, the rule's word, the result's level; medium if there is nothing.
+
+    score: a number, best a column of its own (:func:`leading_number` of a text), as it is compared several times.
+    """
     secret = F.when(is_secret, F.when(live, "critical").otherwise("high"))
-    return F.coalesce(secret, from_score(leading_number(score)), from_word(word), from_level(level))
+    return F.coalesce(secret, from_score(score), from_word(word), from_level(level))
 
 
 def confidence(precision: Column, is_secret: Column) -> Column:

@@ -39,11 +39,10 @@ SCAN = (
 
 
 def lookup(column: Column, table: dict, otherwise=None) -> Column:
-    """The value of a small fixed table for a column, as a CASE."""
-    out = None
-    for key, value in table.items():
-        out = F.when(column == key, F.lit(value)) if out is None else out.when(column == key, F.lit(value))
-    return out.otherwise(F.lit(otherwise)) if out is not None else F.lit(otherwise)
+    """The value of a small fixed table for a column: one constant map, so the column is evaluated once and the generated
+    code stays small."""
+    found = F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), column)
+    return found if otherwise is None else F.coalesce(found, F.lit(otherwise))
 
 
 def severity_rank(column: Column) -> Column:

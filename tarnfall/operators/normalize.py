@@ -24,6 +24,7 @@ def normalize(results: DataFrame, target: str) -> DataFrame:
     rows = rows.withColumn("text", F.coalesce("message_text", "short_text", "full_text", "rule_id"))
     rows = rows.withColumn("is_secret", f.is_secret(engine, F.col("rule_id"), F.col("rule_name"), F.coalesce("rule_tags", F.array().cast("array<string>")), F.concat_ws(" ", "snippet", "text")))
     secret = F.col("is_secret")
+    rows = rows.withColumn("score_number", severity.leading_number(F.col("score")))
     rows = rows.withColumn("found", F.when(secret, secrets.find_secret(F.concat_ws("\n", "snippet", "text"))))
     named = f.cwes_in(F.array_join("cwe_texts", " "), F.array_join("rule_tags", " "), F.array_join("result_tags", " "), F.col("rule_name"), F.col("short_text"), F.col("full_text"), F.col("related"))
     rows = rows.withColumns({
@@ -31,7 +32,7 @@ def normalize(results: DataFrame, target: str) -> DataFrame:
         "finding_kind": f.kind(engine, secret, F.col("rule_name"), F.col("rule_tags")),
         "cwe": f.with_fallback(named, secret, engine, F.col("rule_id")),
         "secret_value_hash": secrets.value_hash(F.col("found.value")),
-        "severity": severity.normalize(secret, F.coalesce("found.live", F.lit(False)), F.col("score"), F.col("severity_word"), F.col("level")),
+        "severity": severity.normalize(secret, F.coalesce("found.live", F.lit(False)), F.col("score_number"), F.col("severity_word"), F.col("level")),
         "message": F.when(secret, secrets.redact_unknown(F.col("text"), F.col("rule_id"))).otherwise(F.col("text")),
         "snippet": F.nullif(F.when(secret, secrets.redact_unknown(F.col("snippet"), F.col("rule_id"))).otherwise(F.col("snippet")), F.lit("")),
         "confidence": severity.confidence(F.col("precision"), secret),

@@ -28,12 +28,13 @@ def lineitem_findings(items: DataFrame) -> DataFrame:
         "score": F.round(F.col("l_discount") * 100).cast("int"),
         "cwe": F.when(F.col("l_linenumber") % 3 == 0, F.array(lookup(part % 5, CWES), F.lit("CWE-862"))).otherwise(F.array(lookup(part % 5, CWES))),
     })
+    rows = rows.withColumn("score_number", severity.leading_number(F.col("score").cast("string")))
     secret, kind = F.col("is_secret"), part % 13
     trivy = F.when(kind < 3, F.concat(F.lit("CVE-2024-"), (part % 97).cast("string"))).when(kind < 6, F.concat(F.lit("AVD-"), kind.cast("string"))).otherwise(F.concat(F.lit("rule-"), kind.cast("string")))
     rule = F.when(secret & (kind < 4), "aws-access-token").when(F.col("engine") == "trivy", trivy).otherwise(F.concat(F.lit("rule-"), kind.cast("string")))
     rows = rows.withColumns({
         "rule_id": rule,
-        "severity": severity.normalize(secret, F.col("score") >= 9, F.col("score").cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")),
+        "severity": severity.normalize(secret, F.col("score") >= 9, F.col("score_number"), F.lit(None).cast("string"), F.lit(None).cast("string")),
         "confidence": severity.confidence(F.when(F.col("l_linestatus") == "O", "very-high").otherwise("low"), secret),
         "finding_kind": f.kind(F.col("engine"), secret, F.lit("Misconfiguration"), F.lit(None).cast("array<string>")),
         "engines": F.array("engine"),

@@ -6,14 +6,19 @@ from pyspark.sql import functions as F
 from tarnfall.llm import kd_topk
 
 
+def long(x):
+    """The nearest long; the least is one more than a long's."""
+    return max(1 - 2**63, min(x, 2**63 - 1))
+
+
 def plain(rows, is_query, k=20, scale=64):
-    fine = [(i, [math.floor(float(x) * scale) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    fine = [(i, [math.floor(float(x) * scale) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(float(x) * scale) for x in v)]
     out, asked = [], set()
     for q, v in fine:
         if not is_query(q) or q in asked:
             continue
         asked.add(q)
-        found = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in fine if i != q and len(w) == len(v)))[:k]
+        found = sorted(((-long(sum(a * b for a, b in zip(v, w, strict=True))), i) for i, w in fine if i != q and len(w) == len(v)))[:k]
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
     return sorted(out)
 
@@ -47,6 +52,16 @@ def test_odd_vectors(spark):
     assert check(spark.createDataFrame([], "vec_id long, embedding array<float>, score int")) == []
 
 
+def test_large_components(spark):
+    """Sums beyond 2**52, products beyond a long, and components whose multiple is no longer finite."""
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=3) * 10.0 ** rng.integers(0, 9)).tolist()) for i in range(80)]
+    rows += [(100 + i, (rng.normal(size=3) * 10.0 ** rng.integers(5, 18)).tolist()) for i in range(60)]
+    rows += [(200, [1e17, 0.0, 0.0]), (201, [1e17, 1e-3, 0.0]), (202, [-1e17, 0.0, 3.0]), (220, [1e300, 1e300, 0.0]), (240, [1e307, 0.0, 0.0]), (260, [2.0**53 + 2, 0.5, 0.25])]
+    for some in (rows[:80], rows):
+        check(spark.createDataFrame(some, "vec_id long, embedding array<double>"), shard_rows=50)
+
+
 def test_tree_bounds_hold():
     rng = np.random.default_rng(4)
     x = rng.integers(-50, 50, (1000, 6)).astype(float)

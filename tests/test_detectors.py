@@ -9,7 +9,7 @@ import pytest
 
 from tarnfall.operators.detect.client_secrets import client_secrets
 from tarnfall.operators.detect.metadata_authz import metadata_authz
-from tarnfall.operators.detect.row_security import clause, edge_functions, final_state, row_security, statements
+from tarnfall.operators.detect.row_security import clause, edge_functions, events, final_state, row_security, statements
 from tarnfall.operators.detect.runner import run_analyzers
 from tarnfall.operators.detect.secret_rules import secret_rules
 from tarnfall.operators.detect.taint import dangerous_html, prompt_injection
@@ -170,6 +170,26 @@ def test_lexing():
     assert [t.strip() for _, t in statements("a; b -- ;\n; 'x;y' \"p;q\" $$;$$ c")] == ["a", "b", "'x;y' \"p;q\" $$;$$ c"]
     assert clause("for all using (a = ')' and (b)) with check (true)", "using") == "using (a = ')' and (b))"
     assert clause("using (open", "using") == "using (open" and clause("to public", "using") is None
+    assert clause("using (true) WITH  check ( a )", "with", "check") == "WITH  check ( a )"
+
+
+def test_statements_into_events():
+    """Names, lists, roles and predicates in every order; statements of other kinds say nothing."""
+
+    def of(sql, *keys):
+        return [tuple(e.get(k) for k in ("kind", "schema_name", "table_name", *keys)) for e in events("a.sql", sql)]
+
+    assert of('CREATE UNLOGGED TABLE IF NOT EXISTS App."My ""T" (a int, b text);create temp table x(y int);create table', "if_absent", "columns") == [("create-table", "app", 'My "T', True, "a int, b text")]
+    assert of('drop table a, b.c , "D", 7, e f cascade; drop table if exists g restrict') == [("drop-table", "public", "a"), ("drop-table", "b", "c"), ("drop-table", "public", "D"), ("drop-table", "public", "g")]
+    assert of("alter table only s.t * enable row level security; alter table t add column c int; alter table t force row level security; alter table t disable row level security", "enabled") == [("alter-table", "s", "t", True), ("alter-table", "public", "t", False)]
+    assert of('drop policy if exists "P q" on s.t cascade; drop policy p on t x', "policy") == [("drop-policy", "s", "t", "P q")]
+    [made] = events("a.sql", "create policy p on s.t as permissive for update to anon, \"Web\" using (a in (select b for share)) with check (true)")
+    assert (made["command"], made["roles"], made["using_clause"], made["check_clause"]) == ("update", ["anon", "Web"], "using (a in (select b for share))", "with check (true)")
+    assert [(x["line"], x["is_check"]) for x in made["open"]] == [(1, True)]
+    [renamed] = events("a.sql", "alter policy p on t rename to q")
+    assert renamed["new_name"] == "q" and renamed["using_clause"] is None
+    assert of("create policy p on t to using (true)", "roles") == [("create-policy", "public", "t", None)]
+    assert of("select 'create table x (y int)'; grant all on t to anon; $$ drop table z $$") == []
 
 
 def test_empty_and_edge_functions(spark):
