@@ -11,14 +11,14 @@ from tarnfall.functions.paths import relative
 from tarnfall.model import COLUMNS, TYPES
 
 
-def conform(rows: DataFrame) -> DataFrame:
+def conform(rows: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """All columns of a finding, in order and type; those that are not there are null."""
-    return rows.select(*((F.col(name) if name in rows.columns else F.lit(None)).cast(kind).alias(name) for name, kind in TYPES.items()))
+    return rows.select(*carry, *((F.col(name) if name in rows.columns else F.lit(None)).cast(kind).alias(name) for name, kind in TYPES.items()))
 
 
-def normalize(results: DataFrame, target: str) -> DataFrame:
+def normalize(results: DataFrame, target: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Findings of :func:`tarnfall.sources.sarif.results`: rule ids cleaned, paths relative, severities on one scale,
-    weaknesses extracted, and no secret value left in any column."""
+    weaknesses extracted, and no secret value left in any column; after the carried columns."""
     engine = F.col("engine")
     rows = results.withColumn("rule_id", f.rule_name(engine, F.col("raw_rule")))
     rows = rows.withColumn("text", F.coalesce("message_text", "short_text", "full_text", "rule_id"))
@@ -44,4 +44,5 @@ def normalize(results: DataFrame, target: str) -> DataFrame:
         "producer_components": f.components(engine, F.col("finding_kind")),
         "engines": F.array(engine),
     })
-    return conform(rows).select(COLUMNS)
+    named = conform(rows.withColumnsRenamed({c: f"__{c}" for c in carry}), tuple(f"__{c}" for c in carry))
+    return named.withColumnsRenamed({f"__{c}": c for c in carry}).select(*carry, *COLUMNS)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfall import cases
 from tarnfall.functions import findings as fn
 from tarnfall.functions import secrets
 from tarnfall.model import CONFIDENCE_RANK, SECRET_ENGINE_RANK, SEVERITY_PENALTY, SEVERITY_RANK
@@ -303,3 +304,6 @@ _RULES = ", ".join(f"('{i}', '{e}', '{','.join(c)}')" for i, e, _, _, c, _ in ru
 @query("rules_by_engine", f"SELECT id, engine, cwes FROM (VALUES {_RULES}) r(id, engine, cwes) WHERE engine = 'analyzer'")
 def rules_by_engine(spark, sf_dir):
     return rules.rules(spark, "analyzer").select("id", "engine", texts("cwe").alias("cwes"))
+
+QUERIES |= cases.QUERIES
+ORACLES |= cases.ORACLES

@@ -37,21 +37,21 @@ def _cwe(value: Column) -> Column:
     return F.when(F.schema_of_variant(value).startswith("ARRAY"), F.concat_ws(" ", F.try_variant_get(value, "$", "array<string>"))).otherwise(F.try_variant_get(value, "$", "string"))
 
 
-def results(logs: DataFrame) -> DataFrame:
-    """engine and the flat fields of each result, with those of its rule: found by id, else by index, else null.
+def results(logs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """engine, the carried columns and the flat fields of each result, with those of its rule: found by id, else by index, else null.
 
     A log that is no JSON has no results.
     """
-    parsed = logs.select("engine", F.from_json("log", SCHEMA).alias("log"))
-    runs = parsed.select("engine", F.explode("log.runs").alias("run"))
-    each = runs.select("engine", F.coalesce("run.tool.driver.rules", F.array()).alias("rules"), F.explode("run.results").alias("r"))
+    parsed = logs.select("engine", *carry, F.from_json("log", SCHEMA).alias("log"))
+    runs = parsed.select("engine", *carry, F.explode("log.runs").alias("run"))
+    each = runs.select("engine", *carry, F.coalesce("run.tool.driver.rules", F.array()).alias("rules"), F.explode("run.results").alias("r"))
     by_id = F.get(F.filter("rules", lambda x: x["id"] == F.col("r.ruleId")), F.lit(0))
     by_index = F.when(F.col("r.ruleIndex") >= 0, F.get("rules", F.col("r.ruleIndex")))
-    each = each.select("engine", "r", F.coalesce(by_id, by_index).alias("rule"))
+    each = each.select("engine", *carry, "r", F.coalesce(by_id, by_index).alias("rule"))
     place = F.get("r.locations", F.lit(0))["physicalLocation"]
     score = lambda p: F.try_variant_get(p, "$", "string")
     return each.select(
-        "engine",
+        "engine", *carry,
         F.coalesce("r.ruleId", "rule.id", F.lit("unknown")).alias("raw_rule"),
         F.col("rule.name").alias("rule_name"),
         F.col("rule.properties.tags").alias("rule_tags"),

@@ -12,7 +12,7 @@ from tarnfall import queries
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     con = duckdb.connect()
-    for name in ("lineitem", "events", "documents", "pages", "conversations", "part"):
+    for name in ("lineitem", "events", "documents", "pages", "conversations", "part", "supplier"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
     return con
 
