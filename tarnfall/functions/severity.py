@@ -32,13 +32,14 @@ def from_level(level: Column) -> Column:
     return F.coalesce(lookup(F.lower(level), LEVELS), F.lit("medium"))
 
 
-def normalize(is_secret: Column, live: Column, score: Column, word: Column, level: Column) -> Column:
+def normalize(is_secret: Column, live: Column, score: Column, word: Column, level: Column, number: Column | None = None) -> Column:
     """Secrets first, then a numeric score, the rule's word, the result's level; medium if there is nothing.
 
-    score: a number, best a column of its own (:func:`leading_number` of a text), as it is compared several times.
+    number: the score's :func:`leading_number`, if it is a column already; it is compared several times.
     """
+    number = leading_number(score) if number is None else number
     secret = F.when(is_secret, F.when(live, "critical").otherwise("high"))
-    return F.coalesce(secret, from_score(score), from_word(word), from_level(level))
+    return F.coalesce(secret, from_score(number), from_word(word), from_level(level))
 
 
 def confidence(precision: Column, is_secret: Column) -> Column:

@@ -22,21 +22,23 @@ FIELD = rf"{META}(?:\s*(?:\?\.|\.)\s*([A-Za-z0-9_$]+)|\s*\[\s*['\"]([A-Za-z0-9_$
 GUARD = rf"{COMPARE}|\.(?:includes|some|every|has|indexOf)\s*\(|{_B}(?:if|while|else\s+if)\s*\(|(?<!\?)\?(?![?.:])"
 ANY_PRIVILEGED = rf"(?i){COMPARE}\s*{PRIVILEGED}|{PRIVILEGED}\s*{COMPARE}|\.(?:includes|some|indexOf)\s*\(\s*{PRIVILEGED}"
 DECLARE = r"(?:const|let|var)\s+"
+#: The forms of an assignment that count, by dot, bracket and destructuring.
+ASSIGNED = rf"{DECLARE}([A-Za-z0-9_$]+)\s*=\s*[^;\n]*?"
+BY_DOT = rf"{ASSIGNED}{META}\s*(?:\?\.|\.)\s*([A-Za-z0-9_$]+)"
+BY_BRACKET = rf"{ASSIGNED}{META}\s*\[\s*['\"]([A-Za-z0-9_$]+)['\"]\s*\]"
+TAKEN = rf"{DECLARE}\{{\s*([^}}]+?)\s*\}}\s*=\s*[^;\n]*?{META}{_E}"
 
 
 def _holding(files: DataFrame) -> DataFrame:
     """file, variable, field: variables assigned from the metadata, by dot, bracket or destructuring; a later form in this
     order, and a later place, decides the field of a name."""
-    assigned = rf"{DECLARE}([A-Za-z0-9_$]+)\s*=\s*[^;\n]*?"
-    dot, bracket = rf"{assigned}{META}\s*(?:\?\.|\.)\s*([A-Za-z0-9_$]+)", rf"{assigned}{META}\s*\[\s*['\"]([A-Za-z0-9_$]+)['\"]\s*\]"
-    taken = rf"{DECLARE}\{{\s*([^}}]+?)\s*\}}\s*=\s*[^;\n]*?{META}{_E}"
     groups = lambda p, g: F.regexp_extract_all("content", F.lit(p), F.lit(g))
     pairs = lambda p: F.arrays_zip(groups(p, 1).alias("variable"), groups(p, 2).alias("field"))
     word = lambda c: F.regexp_extract(F.trim(c), r"^(\S*)", 1)
-    parts = F.flatten(F.transform(groups(taken, 1), lambda x: F.split(x, ",")))
+    parts = F.flatten(F.transform(groups(TAKEN, 1), lambda x: F.split(x, ",")))
     names = F.transform(parts, lambda x: F.struct(word(F.when(F.trim(F.coalesce(F.get(F.split(x, ":"), F.lit(1)), F.lit(""))) != "", F.get(F.split(x, ":"), F.lit(1))).otherwise(F.get(F.split(x, ":"), F.lit(0)))).alias("variable"), word(F.get(F.split(x, ":"), F.lit(0))).alias("field")))
     shape = "array<struct<variable: string, field: string>>"
-    every = F.concat(pairs(dot).cast(shape), pairs(bracket).cast(shape), names.cast(shape))
+    every = F.concat(pairs(BY_DOT).cast(shape), pairs(BY_BRACKET).cast(shape), names.cast(shape))
     rows = files.select(F.col("rel").alias("file"), F.posexplode(every).alias("at", "x")).select("file", "at", "x.*").where("variable <> '' and field <> ''")
     return rows.groupBy("file", "variable").agg(F.max_by("field", "at").alias("field"))
 

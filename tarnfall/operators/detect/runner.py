@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 
 from tarnfall.functions.findings import AI_INVOCATION, RULE_COMPONENT, static_signatures
@@ -26,18 +27,23 @@ ANALYZERS: dict[str, tuple[Callable[[DataFrame], DataFrame], bool]] = {
 }
 
 
-def run_analyzers(files: DataFrame, names=tuple(ANALYZERS)) -> tuple[DataFrame, list[str], dict[str, str]]:
-    """Findings of all analyzers in one plan, notes on those that cannot be planned, and the signatures of all components:
-    they are recorded even where nothing was found.
+def run_analyzers(files: DataFrame, names=tuple(ANALYZERS), apart: bool = False) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """Findings of all analyzers, notes on those that fail, and the signatures of all components: they are recorded even
+    where nothing was found.
 
-    files: rel, ext, size, content, build output included.
+    files: rel, ext, size, content, build output included. All analyzers are one plan, and one that cannot be planned is
+    left out; ``apart`` runs each on its own and keeps its rows, so that one that fails on some file is left out as well.
     """
     source = files.where(~F.arrays_overlap(F.slice(F.split("rel", "/"), 1, F.greatest(F.size(F.split("rel", "/")) - 1, F.lit(0))), F.array(*map(F.lit, BUILD_DIRS))))
     out, notes = files.sparkSession.createDataFrame([], FINDING), []
     for name in names:
         analyzer, built = ANALYZERS[name]
         try:
-            out = out.unionByName(analyzer(files if built else source))
-        except PySparkException as e:
+            found = analyzer(files if built else source)
+            if apart:
+                found = found.persist()
+                found.count()
+            out = out.unionByName(found)
+        except (PySparkException, Py4JJavaError) as e:
             notes.append(f"{name} did not run: {type(e).__name__}")
     return out, notes, static_signatures([AI_INVOCATION, *dict.fromkeys(RULE_COMPONENT.values())])

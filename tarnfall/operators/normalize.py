@@ -32,7 +32,7 @@ def normalize(results: DataFrame, target: str, carry: tuple[str, ...] = ()) -> D
         "finding_kind": f.kind(engine, secret, F.col("rule_name"), F.col("rule_tags")),
         "cwe": f.with_fallback(named, secret, engine, F.col("rule_id")),
         "secret_value_hash": secrets.value_hash(F.col("found.value")),
-        "severity": severity.normalize(secret, F.coalesce("found.live", F.lit(False)), F.col("score_number"), F.col("severity_word"), F.col("level")),
+        "severity": severity.normalize(secret, F.coalesce("found.live", F.lit(False)), F.col("score"), F.col("severity_word"), F.col("level"), F.col("score_number")),
         "message": F.when(secret, secrets.redact_unknown(F.col("text"), F.col("rule_id"))).otherwise(F.col("text")),
         "snippet": F.nullif(F.when(secret, secrets.redact_unknown(F.col("snippet"), F.col("rule_id"))).otherwise(F.col("snippet")), F.lit("")),
         "confidence": severity.confidence(F.col("precision"), secret),

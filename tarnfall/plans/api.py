@@ -33,11 +33,33 @@ def wanted(scanners: list[str] | None) -> list[str]:
     return list(dict.fromkeys(ENGINES_OF[s] for s in SCANNERS if not scanners or s in scanners))
 
 
+MOST_PATHS = 20
+
+
+def routing_notes(stats) -> list[str]:
+    """What routing has left out or reframed."""
+    said = {"dropped_node_modules": "in installed packages left out", "dropped_build_noise": "in build output left out as noise", "reframed": "in ignored files reframed as local"}
+    return [f"{stats[c]} findings {text}" for c, text in said.items() if stats[c]]
+
+
+def size_notes(listed: DataFrame) -> list[str]:
+    """Files of build output that are too large to be read."""
+    large = source_files.oversized_build_files(listed, source_files.MAX_BYTES, 1 << 40, source_files.CODE).count()
+    return [f"{large} files of build output were too large to be read"] if large else []
+
+
 class Scan:
-    """One scan: ``findings`` (before the limit), ``top`` (after it, with ids), the one-row ``envelope``, and counts."""
+    """One scan: ``findings`` (before the limit), ``top`` (after it, with ids), the one-row ``envelope``, counts, and what
+    limits them: ``warnings``, ``suppression`` channels, ``secret_coverage`` (verified, unverified, or None if secrets were
+    not asked for)."""
 
-    def __init__(self, envelope: DataFrame, findings: DataFrame, top: DataFrame, stats: DataFrame, warnings: list[str]):
+    def __init__(self, envelope: DataFrame, findings: DataFrame, top: DataFrame, stats: DataFrame, warnings: list[str], suppression: list[dict] = (), secret_coverage: str | None = None):
         self.envelope, self.findings, self.top, self.route_stats, self.warnings = envelope, findings, top, stats, warnings
+        self.suppression, self.secret_coverage = list(suppression), secret_coverage
+
+    def engines(self) -> list[str]:
+        """engine@version of the engines that ran."""
+        return self.envelope.select(summary.engine_labels(F.col("engine_details")).alias("x")).first().x
 
     def summary(self) -> DataFrame:
         return summary.severity_summary(self.findings)
@@ -70,7 +92,7 @@ def scan(spark: SparkSession, path: str, sarif_logs: dict[str, str] | None = Non
         raw, ran = raw.unionByName(secret_rules(read)), ran | {"gitleaks"}
         warnings.append("secrets: only the rules that need no external engine ran")
     if "analyzer" in engines:
-        own, notes, more = run_analyzers(read)
+        own, notes, more = run_analyzers(read, apart=True)
         raw, ran, known, warnings = raw.unionByName(own), ran | {"analyzer"}, known | more, warnings + notes
     warnings += [f"{e} did not run: no log" for e in engines if e not in ran]
     raw = raw.persist()
@@ -78,10 +100,19 @@ def scan(spark: SparkSession, path: str, sarif_logs: dict[str, str] | None = Non
     merged = compliance.tag(dedup.dedup(route.apply(decided)))
     shown = rank.at_least(merged, threshold).persist()
     counts = {r.engine: r.finding_count for r in summary.engine_counts(raw).collect()}
+    stats = route.route_stats(decided)
+    warnings += routing_notes(stats.first()) + size_notes(listed)
+    channels, coverage = [], None
+    if "gitleaks" in engines:
+        channels = [r.asDict() for r in summary.suppression(read).withColumn("paths", F.slice("paths", 1, MOST_PATHS)).collect()]  # three rows
+        coverage = "unverified" if "gitleaks" not in ran or any(c["channel"] == "gitleaks_ignore" for c in channels) else "verified"
+        warnings += [f"secrets: {c['count']} of {c['channel']}, {c['handling'].replace('_', ' ')}" for c in channels]
+    if "trivy" in ran and "trivy:vulnerability-db" not in known:
+        warnings.append("dependencies: the vulnerability database's signature is unrecorded, so later scans cannot prove fixes")
     total = shown.count()
     details = [(e, None, e in ran, e in ran, counts.get(e, 0), None, None) for e in engines]
     row = (f"scan-{uuid.uuid4()}", path.rstrip("/"), started, total > most, total, details, known, (list(scanners) if scanners else None, threshold, most), None)
-    return Scan(spark.createDataFrame([row], SCAN), shown, rank.limited(shown, most), route.route_stats(decided), warnings)
+    return Scan(spark.createDataFrame([row], SCAN), shown, rank.limited(shown, most), stats, warnings, channels, coverage)
 
 
 def rescan(spark: SparkSession, path: str, folder: str, prior_id: str | None = None, threshold: str | None = None, **options) -> tuple[Scan, DataFrame]:

@@ -1,14 +1,17 @@
 """Source files as DataFrames: a manifest of metadata first, contents of the chosen files later.
 
-Spark's file sources leave out names that begin with a dot or an underscore, so the manifest comes from the file
-system's own listing (names and sizes only; any store that Hadoop reads), and contents are read by explicit path, each
-file by an executor. Folders that are never read are not even listed.
+Spark's file sources leave out names that begin with a dot or an underscore, whatever path they are given. So the manifest
+comes from the file system's own listing (names and sizes only; any store that Hadoop reads), and of the chosen files those
+with such names are opened by the executors themselves. Folders that are never read are not even listed.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,18 +66,32 @@ def _below_build(rel: str) -> Column:
     return F.arrays_overlap(F.slice(F.split(rel, "/"), 1, F.greatest(F.size(F.split(rel, "/")) - 1, F.lit(0))), F.array(*map(F.lit, BUILD_DIRS)))
 
 
+def open_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path, content of each path; files that are gone are left out."""
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            fs, inner = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+            try:
+                with fs.open_input_stream(inner) as f:
+                    content = f.read()
+            except FileNotFoundError:
+                continue
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], names=["path", "content"])
+
+
 def read_contents(chosen: DataFrame) -> DataFrame:
     """rel, ext, size, content of a manifest's rows; bytes that are no UTF-8 become replacement characters.
 
     The driver holds the chosen paths, never contents; files that vanish meanwhile are left out.
     """
     spark = chosen.sparkSession
-    paths = [r.path for r in chosen.select("path").collect()]
-    if not paths:
-        return spark.createDataFrame([], FILES)
-    read = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(paths)
+    hidden = F.element_at(F.split("path", "/"), -1).rlike("^[._]")
+    paths = [r.path for r in chosen.where(~hidden).select("path").collect()]
+    own = chosen.where(hidden & (F.col("size") > 0)).select("path").mapInArrow(open_files, "path string, content binary")
+    if paths:
+        own = own.unionByName(spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(paths).select("path", "content"))
     tail = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")  # noqa: E731  file:/a and file:///a are one path
-    read = read.select(tail(F.col("path")).alias("key"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    read = own.select(tail(F.col("path")).alias("key"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     both = chosen.withColumn("key", tail(F.col("path"))).join(read, "key", "left")
     content = F.coalesce("content", F.when(F.col("size") == 0, ""))  # the source leaves out empty files
     return both.select("rel", "ext", "size", content.alias("content")).where("content is not null")

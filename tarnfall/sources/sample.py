@@ -34,7 +34,7 @@ def lineitem_findings(items: DataFrame) -> DataFrame:
     rule = F.when(secret & (kind < 4), "aws-access-token").when(F.col("engine") == "trivy", trivy).otherwise(F.concat(F.lit("rule-"), kind.cast("string")))
     rows = rows.withColumns({
         "rule_id": rule,
-        "severity": severity.normalize(secret, F.col("score") >= 9, F.col("score_number"), F.lit(None).cast("string"), F.lit(None).cast("string")),
+        "severity": severity.normalize(secret, F.col("score") >= 9, F.col("score").cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("score_number")),
         "confidence": severity.confidence(F.when(F.col("l_linestatus") == "O", "very-high").otherwise("low"), secret),
         "finding_kind": f.kind(F.col("engine"), secret, F.lit("Misconfiguration"), F.lit(None).cast("array<string>")),
         "engines": F.array("engine"),

@@ -10,9 +10,11 @@ import pytest
 from tarnfall.operators.detect.client_secrets import client_secrets
 from tarnfall.operators.detect.metadata_authz import metadata_authz
 from tarnfall.operators.detect.row_security import clause, edge_functions, events, final_state, row_security, statements
+from tarnfall.model import FINDING
+from tarnfall.operators.detect import runner
 from tarnfall.operators.detect.runner import run_analyzers
 from tarnfall.operators.detect.secret_rules import secret_rules
-from tarnfall.operators.detect.taint import dangerous_html, prompt_injection
+from tarnfall.operators.detect.taint import assignments, dangerous_html, prompt_injection, template_values
 
 
 def files(spark, contents: dict[str, str]):
@@ -201,6 +203,24 @@ def test_empty_and_edge_functions(spark):
     assert [(r.file, r.start_line, r.rule_id) for r in rows] == [("supabase/functions/a/index.ts", 1, "edge-fn-no-auth")]
 
 
+def test_an_analyzer_that_fails_is_left_out(spark, monkeypatch):
+    """At planning or on a file: the others' findings stay, and a note says so."""
+
+    def breaks(some):
+        return some.mapInArrow(lambda batches: (1 / 0 for _ in batches), FINDING)
+
+    monkeypatch.setitem(runner.ANALYZERS, "prompt-injection", (breaks, False))
+    monkeypatch.setitem(runner.ANALYZERS, "dangerous-html", (lambda some: some.select("no such column"), False))
+    found, notes, _ = runner.run_analyzers(files(spark, AUTHZ), apart=True)
+    assert [n.split()[0] for n in notes] == ["prompt-injection", "dangerous-html"] and found.count() == len(AUTHZ)
+
+
+def test_declarations():
+    text = "const { a, b: c } = req.body; let d=`x\n${a}`\nvar e = 1\nconst\nf = g;const h == 2; constant = 3; let {} = z; const i"
+    assert [*assignments(text)] == [(["a", "c"], "req.body"), (["d"], "`x"), (["e"], "1"), (["f"], "g"), (["h"], "= 2")]
+    assert [*template_values(text)] == [("d", "`x\n${a}`")]
+
+
 def test_runner(spark):
     found, notes, signatures = run_analyzers(files(spark, AUTHZ | {M + "1.sql": NOTES, "dist/x.ts": AUTHZ["tp/inline.ts"]}))
     assert notes == [] and len(signatures) == 7

@@ -189,6 +189,8 @@ def test_scan_and_rescan(spark, tmp_path):
     first = api.scan(spark, str(root))
     assert {(r.rule_id, r.file) for r in first.top.collect()} == {("client-metadata-authz", "src/a.ts"), ("stripe-live-secret", ".next/x.js")}
     assert [r.engines for r in first.top.where("rule_id = 'stripe-live-secret'").collect()] == [["analyzer", "gitleaks"]]
+    assert first.secret_coverage == "unverified" and {c["channel"]: c["paths"] for c in first.suppression} == {"gitleaks_ignore": [".gitleaksignore"], "inline_allow": ["n.py"]}
+    assert "secrets: 1 of gitleaks_ignore, coverage unverified" in first.warnings and first.engines() == ["gitleaks", "analyzer"]
     first.save(folder)
     (root / "src/a.ts").write_text("ok")
     (root / "src/c.ts").write_text("const o = { dangerouslyAllowBrowser: true };")
@@ -209,6 +211,29 @@ def test_scan_and_rescan(spark, tmp_path):
         store.load_findings(spark, folder, "../x")
 
 
+def test_notes_of_a_scan(spark, tmp_path):
+    """Routing, files too large, and a vulnerability scan without its database's signature."""
+    (tmp_path / "dist").mkdir()
+    (tmp_path / "dist/big.js").write_text("x" * (files.MAX_BYTES + 1))
+    (tmp_path / ".env").write_text(f"KEY={LIVE}")
+    log = tmp_path / "trivy.sarif"
+    log.write_text(json.dumps({"runs": [{"tool": {"driver": {"rules": []}}, "results": [{"ruleId": "AVD-1", "message": {"text": "m"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "dist/a.js"}}}]}]}]}))
+    got = api.scan(spark, str(tmp_path), sarif_logs={"trivy": str(log)})
+    assert got.secret_coverage == "verified" and got.suppression == []
+    said = " | ".join(got.warnings)
+    for text in ("1 findings in build output left out", "findings in ignored files reframed", "1 files of build output were too large", "signature is unrecorded"):
+        assert text in said, said
+    assert api.scan(spark, str(tmp_path), scanners=["sast"]).secret_coverage is None
+
+
+def test_invocations():
+    one = report.invocation_signature("opengrep", ["scan", "<target>"])
+    assert one == report.invocation_signature("opengrep", ["scan", "<target>"]) != report.invocation_signature("opengrep", ["scan"]) and one.startswith("sha256:")
+    assert set(fn.static_signatures(["pipeline"])) == {"pipeline"}
+    with pytest.raises(KeyError):
+        fn.static_signatures(["unknown"])
+
+
 def test_rules_and_sbom(spark, tmp_path):
     assert rules.rules(spark).count() == 35 and rules.rules(spark, "gitleaks").count() == 3
     assert rules.read_manifest(spark, str(tmp_path / "no.json")).first().version == "unknown"
