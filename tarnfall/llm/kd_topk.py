@@ -1,14 +1,16 @@
 """Exact top-k by inner product over KD-trees, one per shard.
 
 The vectors are dealt out to shards by hash. A shard's KD-tree splits at the median of the widest dimension; each node has
-the tight bounding box of its vectors, whose best possible inner product with a query is an upper bound. A query visits
-nodes best bound first and stops when the best bound left is below its kth score so far (or can only tie with it).
+the tight bounding box of its vectors, whose best possible inner product with a query is an upper bound. Queries go in
+blocks: nodes are visited best bound first, each by the queries of the block whose bound reaches their kth score so far,
+and the search ends when no bound left does.
 
 Every query first searches one shard; the kth score found there is passed on to its searches of all others, which return
 only what can still enter the result. Queries go in blocks: a task holds one shard and one group of query blocks.
 
 Defined results: rows with null or non-finite components, or without a vector, take no part, nor do vectors of a length
-other than the query's. Ties go to the smaller vec_id. Rows that repeat a vec_id are candidates of their own for other
+other than the query's. All other finite vectors do: inner products are exact whatever their size, a score beyond a long
+is reported as the least or greatest long (more than -2**63), and such scores tie. Ties go to the smaller vec_id. Rows that repeat a vec_id are candidates of their own for other
 ids' queries, and a repeated query id is asked once; rows with the query's own id are no candidates. Null ids take no
 part. Fewer than k candidates give fewer rows.
 """
@@ -52,40 +54,66 @@ class KdTree:
         self.lows, self.highs, self.ranges, self.children = np.array(lows), np.array(highs), ranges, children
         self.vectors = vectors[self.order]
 
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Of each query and node the largest inner product that the box allows."""
-        return np.maximum(queries, 0) @ self.highs.T + np.minimum(queries, 0) @ self.lows.T
+    def bounds(self, queries: np.ndarray, node=slice(None)) -> np.ndarray:
+        """The largest inner product with each query that the box of the node (of each node) allows."""
+        return np.maximum(queries, 0) @ self.highs[node].T + np.minimum(queries, 0) @ self.lows[node].T
 
-    def search(self, query: np.ndarray, bound: np.ndarray, ids: np.ndarray, own: int, k: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
-        """The rows' ids and scores that can be among the k best, given that the kth best score is ``floor`` at least."""
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        heap = [(-bound[0], 0)]
+    def search(self, queries: np.ndarray, own: np.ndarray, floors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best-first for a block of queries: (query, id, score) of what can be among the k best of each, given that its kth
+        best score is ``floors`` at least.
+
+        A node goes to the queries whose bound still reaches their kth best score, in the order of its best bound; nodes and
+        leaves are met by all these queries in one product. own: the queries' ids, which are not their candidates.
+        """
+        floors = floors.copy()
+        best = np.zeros((3, 0), np.int64)
+
+        def enter(node: int, some: np.ndarray) -> None:
+            bound = whole(self.bounds(queries[some], node))
+            heapq.heappush(heap, (-int(bound.max()), node, some, bound))
+
+        heap: list[tuple] = []
+        enter(0, np.arange(len(queries)))
         while heap:
-            top, node = heapq.heappop(heap)
-            if -top < floor:
-                break
+            _, node, some, bound = heapq.heappop(heap)
+            some = some[bound >= floors[some]]
+            if not len(some):
+                continue
             left, right = self.children[node]
             if left >= 0:
-                for child in (left, right):
-                    if bound[child] >= floor:
-                        heapq.heappush(heap, (-bound[child], child))
+                enter(left, some), enter(right, some)
                 continue
             lo, hi = self.ranges[node]
-            score = (self.vectors[lo:hi] @ query).astype(np.int64)
-            pick = np.flatnonzero((score >= floor) & (ids[lo:hi] != own))
-            best_ids, best = np.concatenate([best_ids, ids[lo:hi][pick]]), np.concatenate([best, score[pick]])
-            if len(best) > k:
-                keep = np.lexsort((best_ids, -best))[:k]
-                best_ids, best = best_ids[keep], best[keep]
-            if len(best) == k:
-                floor = max(floor, int(best.min()))
-        return best_ids, best
+            score = whole(queries[some] @ self.vectors[lo:hi].T)
+            row, at = np.nonzero((score >= floors[some, None]) & (ids[lo:hi] != own[some, None]))
+            best = np.concatenate([best, np.stack([some[row], ids[lo:hi][at], score[row, at]])], axis=1)
+            best = best[:, np.lexsort((best[1], -best[2], best[0]))]
+            first = np.searchsorted(best[0], best[0])
+            best = best[:, np.arange(best.shape[1]) - first < k]
+            full = np.flatnonzero(np.bincount(best[0], minlength=len(queries)) == k)
+            last = np.searchsorted(best[0], full, side="right") - 1
+            floors[full] = np.maximum(floors[full], best[2, last])
+        return best[0], best[1], best[2]
+
+
+LEAST, MOST = np.iinfo(np.int64).min + 1, np.iinfo(np.int64).max  # the least has a negative of its own
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    """Exact products as longs; what is beyond a long becomes the least or greatest one."""
+    return x.astype(np.int64) if x.dtype != object else np.clip(x, LEAST, MOST).astype(np.int64)
 
 
 def scaled(embedding: Column, scale: int) -> Column:
-    """floor(scale * x) of each component, x as a double; null if a component is null or not finite."""
-    fine = F.forall(embedding, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    return F.when(fine, F.transform(embedding, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+    """floor(scale * x) of each component as a double (exact: beyond 2**52 a double is whole); null if a component is null, or
+    it or its multiple is not finite."""
+    fine = F.forall(embedding, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double") * scale) < float("inf")), F.lit(False)))
+
+    def lower(x: Column) -> Column:
+        y = x.cast("double") * scale
+        return F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).otherwise(y)
+
+    return F.when(fine, F.transform(embedding, lower))
 
 
 def packed(rows: DataFrame, key: str) -> DataFrame:
@@ -101,7 +129,7 @@ def packed(rows: DataFrame, key: str) -> DataFrame:
             for k, dim in {*zip(keys.tolist(), dims.tolist(), strict=True)}:
                 own = np.flatnonzero((keys == k) & (dims == dim))
                 vectors = flat[at[own][:, None] + np.arange(dim)]
-                small = vectors.astype(np.int32) if np.abs(vectors).max(initial=0) < 2**31 else vectors
+                small = vectors.astype(np.int32) if np.abs(vectors).max(initial=0) < 2**31 else vectors  # else doubles, whole too
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([dim], pa.int32()), pa.array([ids[own].astype(np.int64).tobytes()]), pa.array([small.tobytes()])], names=["key", "dim", "ids", "vectors"])
 
     return rows.select(F.col(key).cast("int").alias(key), "vec_id", "v").mapInArrow(run, "key int, dim int, ids binary, vectors binary")
@@ -109,8 +137,13 @@ def packed(rows: DataFrame, key: str) -> DataFrame:
 
 def arrays(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     own = np.frombuffer(ids, np.int64)
-    kind = np.int32 if len(vectors) == 4 * len(own) * dim else np.int64
-    return own, np.frombuffer(vectors, kind).astype(np.int64).reshape(len(own), dim)
+    kind = np.int32 if len(vectors) == 4 * len(own) * dim else np.float64
+    return own, np.frombuffer(vectors, kind).astype(np.float64).reshape(len(own), dim)
+
+
+def exact(x: np.ndarray, large: float) -> np.ndarray:
+    """The vectors in a type in which inner products are exact: doubles, or Python's integers where sums could pass 2**52."""
+    return x if x.shape[1] * large * large < 2**52 else np.array([[int(c) for c in row] for row in x.tolist()], object).reshape(x.shape)
 
 
 def search_shard(shard: list[dict], queries: list[dict], k: int) -> Iterator[pa.RecordBatch]:
@@ -121,20 +154,15 @@ def search_shard(shard: list[dict], queries: list[dict], k: int) -> Iterator[pa.
         if not asked:
             continue
         ids, vectors = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])
-        large = max(int(np.abs(x).max(initial=0)) for x in [vectors, *(q[1] for q in asked)])
-        kind = np.float64 if dim * large * large < 2**52 else object  # sums are exact
-        tree = KdTree(vectors.astype(kind))
+        large = max(float(np.abs(x).max(initial=0)) for x in [vectors, *(q[1] for q in asked)])
+        tree = KdTree(exact(vectors, large))
         ids = ids[tree.order]
         for query_ids, rows, floors in asked:
-            rows = rows.astype(kind)
-            out = []
+            rows = exact(rows, large)
             for lo in range(0, len(rows), 256):
-                bounds = tree.bounds(rows[lo : lo + 256])
-                for i in range(lo, min(lo + 256, len(rows))):
-                    found, score = tree.search(rows[i], bounds[i - lo], ids, int(query_ids[i]), k, int(floors[i]))
-                    out.append((np.full(len(found), query_ids[i]), found, score))
-            columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=OUT)
+                some = query_ids[lo : lo + 256]
+                row, found, score = tree.search(rows[lo : lo + 256], some, floors[lo : lo + 256], ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (some[row], found, score)], schema=OUT)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, shard_rows: int = 16384, block: int = 512, blocks_per_task: int = 16) -> DataFrame:
@@ -166,7 +194,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, sh
 
         return each.groupBy("shard", "group").cogroup(queries.groupBy("shard", "group")).applyInArrow(run, FOUND)
 
-    lowest = np.iinfo(np.int64).min
+    lowest = int(LEAST)
 
     def no_floor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
