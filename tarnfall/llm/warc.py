@@ -6,7 +6,8 @@ offset, coalesces neighbouring byte ranges, and parses the selected records out
 
 Records with equal payloads are written once: that with the least page_id is the response, the others are revisits that
 name it and carry the full payload's digest and length. Which digests occur twice is found from (digest, page_id) alone;
-that table is joined back by digest, a join whose large side Spark can split where one payload is very common.
+that table is broadcast while it is small, so pages are written where they are read; else it is joined by digest, a join
+whose large side Spark can split where one payload is very common.
 
 Defined results: a null html is an empty payload; a null URL is written as ``urn:page:<id>``. Null page ids are written
 as such and never become a response while another row has the payload. Rows repeated with one page_id are separate
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfall.llm.shared import bound_batches, filesystem, saved, shared_dir, write_file
+from tarnfall.llm.shared import bound_batches, broadcast_if_small, filesystem, saved, shared_dir, write_file
 
 INDEX = "archive string, offset long, length long, url string, payload_digest string, page_id long"
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload string"
@@ -83,7 +84,7 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     marked = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha"))
     slim = pages.select("page_id", F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("size"))
     first = slim.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = marked.join(first, "sha", "left")
+    joined = marked.join(broadcast_if_small(saved(first, "repeated"), 200_000), "sha", "left")
     own = F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "html", F.when(~own, F.col("first")).alias("refers_to"))
 
@@ -118,10 +119,13 @@ def write_archives(marked: DataFrame, folder: str) -> DataFrame:
 def read_records(index: DataFrame, gap: int = 64 << 10, most: int = 8 << 20) -> DataFrame:
     """The records that the index rows select, payloads verified against their digests.
 
-    Rows are dealt out by archive and stretch of 64 MB, so a large archive is read by many tasks; in a task, ranges with
-    gaps of up to ``gap`` bytes between them are read at once, up to ``most`` bytes unless one record is longer.
+    Rows are dealt out by archive and stretch of ``most`` bytes, over as many tasks as the records' bytes need (the rows
+    themselves are few, so their own size must not decide it); in a task, ranges with gaps of up to ``gap`` bytes between
+    them are read at once, up to ``most`` bytes unless one record is longer.
     """
-    index = index.repartition("archive", F.floor(F.col("offset") / (64 << 20))).sortWithinPartitions("archive", "offset")
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(2 * index.sparkSession.sparkContext.defaultParallelism, -(-total // (4 * most)))
+    index = index.repartition(tasks, "archive", F.expr(f"offset div {most}")).sortWithinPartitions("archive", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def fetch(archive: str, spans: list[tuple[int, int]]) -> pa.RecordBatch:
