@@ -23,19 +23,19 @@ def dedup_key(secret: Column | None = None) -> Column:
     )
 
 
-def preference() -> Column:
-    """Orders the findings of one key, best first: severity, the engine that tells most of a secret, confidence,
+#: columns that settle what ranks leave open, in this order
+TIES = ("fingerprint", "title", "message", "snippet")
+
+
+def preference() -> list[Column]:
+    """Orders the findings of one key, best first: severity, the engine that tells most of a secret, confidence; then come
     fingerprint, and what else could differ."""
     secret = F.coalesce(F.col("is_secret"), F.lit(False))
-    return F.struct(
-        (-severity_rank(F.col("severity"))).alias("a"),
-        F.when(secret, -lookup(F.col("engine"), SECRET_ENGINE_RANK, 0)).otherwise(0).alias("b"),
-        (-lookup(F.col("confidence"), CONFIDENCE_RANK, 0)).alias("c"),
-        F.col("fingerprint").alias("d"),
-        F.coalesce("title", F.lit("")).alias("e"),
-        F.coalesce("message", F.lit("")).alias("f"),
-        F.coalesce("snippet", F.lit("")).alias("g"),
-    )
+    return [
+        (-severity_rank(F.col("severity"))).alias("__severity"),
+        F.when(secret, -lookup(F.col("engine"), SECRET_ENGINE_RANK, 0)).otherwise(0).alias("__engine"),
+        (-lookup(F.col("confidence"), CONFIDENCE_RANK, 0)).alias("__confidence"),
+    ]
 
 
 def _union(column: str) -> Column:
@@ -47,12 +47,14 @@ def dedup(findings: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """The findings merged by :func:`dedup_key` (within the ``scope`` columns), plus ``merged_rows``.
 
     Of merged rows the keeper's columns stay; engines, weaknesses (a missing one is left out) and components are united.
-    A single row is unchanged but for its sorted lists.
+    A single row is unchanged but for its sorted lists. Columns that nobody needs are best dropped before: all that are
+    here are shuffled.
     """
     keyed = findings.withColumn("dedup_key", dedup_key())
     rest = [c for c in findings.columns if c not in (*scope, "engines", "cwe", "producer_components")]
+    ordered = [c for c in TIES if c in rest] + [c for c in rest if c not in TIES]
     out = keyed.groupBy(*scope, "dedup_key").agg(
-        F.min_by(F.struct(*rest, "cwe"), preference()).alias("keep"),
+        F.min(F.struct(*preference(), *ordered, "cwe")).alias("keep"),  # the least row: each column travels once
         _union("engines").alias("engines"), _union("cwe").alias("all_cwe"), _union("producer_components").alias("components"), F.count("*").alias("merged_rows"),
     )
     united = F.filter("all_cwe", lambda c: c != NO_CWE)

@@ -101,7 +101,7 @@ def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.dedup(route.apply(decided(spark, sf_dir)).drop("l_orderkey", "l_linenumber"), ("target",))
+    return dedup.dedup(route.apply(decided(spark, sf_dir)).drop("l_orderkey", "l_linenumber", "remediation"), ("target",))
 
 
 def query(name: str, sql: str) -> Callable[[Query], Query]:
