@@ -183,16 +183,17 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     pieces = F.array_sort(F.collect_list(F.struct("from", "words")))
     runs = mixed.taken().where("words > 0").groupBy(*KEY, "copy", "turn").agg(F.sum("words").alias("taken"), pieces.alias("runs"))
     runs = runs.select(*(F.col(c).alias(f"__mix_{c}") for c in (*KEY, "taken", "runs")))
-    own = {"__size": word_count(F.col("text"))} | text_keys()
-    keyed = docs.withColumns({f"__own{name[1:]}": c for name, c in own.items()}).where("__own_size > 0")
-    keyed = keyed.dropDuplicates(["doc_id", "source", "__own_size", "__own_one", "__own_two"])
-    same = keyed["doc_id"].eqNullSafe(F.col("__mix_doc_id")) & keyed["source"].eqNullSafe(F.col("__mix_source"))
-    for c in ("size", "one", "two"):
-        same = same & (F.col(f"__own_{c}") == F.col(f"__mix_{c}"))
+    # two digests of all that tells rows apart, never null: texts are dealt out once for both the distinct and the join
+    digest = lambda salt, *c: F.xxhash64(F.lit(salt), F.isnull(c[0]), c[0], F.isnull(c[1]), *c[1:])
+    runs = runs.withColumns({f"__mix_{k}": digest(k, *(F.col(f"__mix_{c}") for c in KEY)) for k in ("left", "right")})
+    own = ("doc_id", "source", "__mix_size", "__mix_one", "__mix_two")
+    keyed = docs.withColumns({"__mix_size": word_count(F.col("text"))} | {f"__mix{name[1:]}": c for name, c in text_keys().items()}).where("__mix_size > 0")
+    keyed = keyed.withColumns({f"__mix_{k}": digest(k, *map(F.col, own)) for k in ("left", "right")})
+    keyed = keyed.drop("__mix_one", "__mix_two").dropDuplicates(["__mix_left", "__mix_right"])
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
     some = F.array_join(F.flatten(F.transform("__mix_runs", lambda r: F.slice(words, (r["from"] + 1).cast("int"), r["words"].cast("int")))), " ")
     text = F.when(F.col("__mix_taken") == F.col("__mix_size"), F.col("text")).otherwise(some)
-    out = keyed.join(runs, same).withColumn("text", text)
+    out = keyed.join(runs.select("__mix_left", "__mix_right", "__mix_taken", "__mix_runs"), ["__mix_left", "__mix_right"]).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
