@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,37 +10,29 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfall.sources import tables
+
 #: one list of written folders for each open :func:`scratch`
 _open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's ``spark.checkpoint.dir``. Where that is unset, a local folder is set if everything
-    runs on this machine; on a cluster it is an error, as executors would not see each other's files."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tarnfall-")
-        sc.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder that the driver and all executors share (:func:`tarnfall.sources.tables.shared_dir`)."""
+    path = tables.shared_dir(spark, name)
     if _open:
         _open[-1].append(path)
     return path
 
 
 @contextmanager
-def scratch() -> Iterator[None]:
+def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end the shared folders that were made inside it. What is to last is written elsewhere before."""
     _open.append([])
     try:
         yield
     finally:
-        for path in _open.pop():
-            fs, inner = filesystem(path)
-            if fs.get_file_info(inner).type == pafs.FileType.Directory:
-                fs.delete_dir(inner)
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, _open.pop()):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

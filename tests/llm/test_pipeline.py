@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections import Counter, defaultdict
 
 import pytest
@@ -14,6 +15,7 @@ import corpus_pipeline
 from tarnfall.llm import block_mix, toxicity
 from tarnfall.llm.registry import tokenizer
 from tarnfall.llm.shared import saved
+from tarnfall.sources import tables
 
 DIR = "/root/testdata/sf0.01"
 
@@ -90,3 +92,13 @@ def test_no_documents(spark, stages):
     for _, stage in corpus_pipeline.STAGES:
         docs = saved(stage(spark, docs, DIR), "stage")
         assert docs.count() == 0
+
+
+def test_run_leaves_the_stages_only(spark, monkeypatch):
+    """All stages in one go; of what they write on their way only their results stay in the shared folder."""
+    made = []
+    monkeypatch.setattr(tables, "shared_dir", lambda session, name, make=tables.shared_dir: made.append(make(session, name)) or made[-1])
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and "decoded_sha256" in out.columns
+    left = [m for m in made if os.path.exists(m.removeprefix("file:"))]
+    assert len(left) == len(corpus_pipeline.STAGES) < len(made)
