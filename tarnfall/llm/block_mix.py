@@ -31,6 +31,7 @@ from tarnfall.llm.textkernel import mix as scramble
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 32
 KEY = ("doc_id", "source", "size", "one", "two")
+UNFOLDED = 1 << 16
 
 
 def permute(x: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
@@ -128,8 +129,12 @@ class Mix:
         inside = Window.partitionBy("idx", "upper", "lower").orderBy("h", *KEY).rowsBetween(Window.unboundedPreceding, -1)
         first = F.col("start") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0))
         placed = rows.join(starts, ["idx", "upper", "lower"]).withColumn("first", first)
-        placed = saved(placed.select(*KEY, "idx", "source_size", "target", "first", "n"), "placed")
-        return unfolded(placed, "n", "copy").withColumn("offset", F.col("first") + F.col("copy") * F.col("size")).drop("first", "n")
+        placed = placed.select(*KEY, "idx", "source_size", "target", "first", "n")
+        if (rows.agg(F.max("n")).first()[0] or 0) > UNFOLDED:  # saved only for a row that one task should not unfold
+            copies = unfolded(saved(placed, "placed"), "n", "copy", UNFOLDED)
+        else:
+            copies = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        return copies.withColumn("offset", F.col("first") + F.col("copy") * F.col("size")).drop("first", "n")
 
     def slots(self) -> DataFrame:
         """shard, idx, slot, turn, block, take: every slot with its block and the words taken of it from its start."""

@@ -92,6 +92,12 @@ def test_clashing_names_and_null_ids(spark):
     assert all(r.taken in (1, 4) and r.copy == "c" for r in out)
 
 
+def test_a_row_that_repeats_very_often(spark, monkeypatch):
+    monkeypatch.setattr(block_mix, "UNFOLDED", 4)
+    rows = [(1, "the same row again", "s")] * 20 + [(k, f"row {k} of its own", "s") for k in range(2, 12)]
+    check(spark.createDataFrame(rows, "doc_id long, text string, source string"), length=8)
+
+
 def plain_permute(x, n, key):
     for r in range(block_mix.ROUNDS):
         k = int(scramble(np.array([(r + key) % 2**64], np.uint64))[0])
