@@ -44,4 +44,30 @@ s AS (
 n AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM n WHERE rank <= 20"""
 
-ORACLES = {"op7_line_rules": OP7, "op8_warc": OP8, "op10_kd_topk": OP10}
+
+def crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    bits = "list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), xor(s, x))"
+    return f"xor(4294967295, list_reduce(list_transform(string_split({text}, ''), lambda ch: CAST(ord(ch) AS BIGINT)), lambda s, x: {bits}, CAST(4294967295 AS BIGINT)))"
+
+
+#: All pairs of equal words at each lag, as islands; an island inside one of a smaller lag has a smaller period.
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, {crc32("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+a AS (SELECT r, doc_id, h, w, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+t AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM p),
+u AS (SELECT r, n, unnest(range(n)) AS i, unnest(w) AS x FROM t WHERE n > 0),
+m AS (SELECT l.r, k.i - l.i AS q, l.i FROM u l JOIN u k ON l.r = k.r AND l.x = k.x AND k.i > l.i AND 2 * (k.i - l.i) <= l.n),
+f AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM m),
+c AS (SELECT r, q, min(i) AS s, max(i) + 1 + q AS e FROM f GROUP BY r, q, island HAVING count(*) >= greatest(q, 12 - q)),
+runs AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.r = c.r AND o.q < c.q AND o.s <= c.s AND o.e >= c.e)),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, e)) AS i FROM runs),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS t FROM u ANTI JOIN gone USING (r, i) GROUP BY r),
+best AS (
+  SELECT r, count(*) AS n_runs, string_agg(concat(s, ',', e - s, ',', q, chr(10)), '' ORDER BY s, q) AS lines, min(row(s - e, s, q)) AS b FROM runs GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(b[2] AS BIGINT) AS start, CAST(-b[1] AS BIGINT) AS length, CAST(b[3] AS BIGINT) AS period,
+  CAST(1000 * -b[1] // b[3] AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM t LEFT JOIN best USING (r) LEFT JOIN kept USING (r)"""
+
+ORACLES = {"op7_line_rules": OP7, "op8_warc": OP8, "op10_kd_topk": OP10, "op11_periodic_runs": OP11}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfall.llm import block_mix, hash_ring, kd_topk, line_rules, quality, simhash_trie, token_files, toxicity, warc, word_bpe
+from tarnfall.llm import block_mix, hash_ring, kd_topk, line_rules, periodic_runs, quality, simhash_trie, token_files, toxicity, warc, word_bpe
 from tarnfall.llm.labels import held_out
 from tarnfall.llm.oracles import ORACLES as _SQL
 
@@ -72,6 +72,24 @@ def op10_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def with_repetitions(docs: DataFrame) -> DataFrame:
+    """Every tenth document or so, by the CRC-32 of its id, repeats its words from some place on with some period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))).alias("w"))
+    placed = words.withColumn("n", F.expr("nullif(size(w), 0)")).withColumn("a", F.expr("int(g % n)")).withColumn("p", F.expr("1 + int((n - a) div (3 + g % 8))"))
+    again = F.expr("concat(slice(w, 1, a), slice(flatten(array_repeat(slice(w, a + 1, p), 1 + int((n - a) div p))), 1, n - a))")
+    return placed.select("doc_id", F.coalesce(F.array_join(again, " "), "text").alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_repetitions(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("s"), (-r.period).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n"))), "")
+    sums = {"runs_sha256": F.sha2(lines, 256), "collapsed_sha256": F.sha2("collapsed", 256)}
+    values = ["bigint(size(runs)) AS n_runs", "-x.s AS start", "x.length AS length", "-x.p AS period", "1000 * x.length div -x.p AS exponent_milli"]
+    return found.withColumn("x", longest).withColumns(sums).selectExpr("doc_id", *values, *sums)
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -83,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_block_mix": op9_block_mix,
     "op10_kd_topk": op10_kd_topk,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLES: dict[str, str] = dict(_SQL)
