@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfall.llm import block_mix, hash_ring, kd_topk, line_rules, periodic_runs, quality, simhash_trie, token_files, toxicity, warc, word_bpe
+from tarnfall.llm import block_mix, decontaminate, hash_ring, kd_topk, line_rules, periodic_runs, quality, simhash_trie, token_files, toxicity, warc, word_bpe
 from tarnfall.llm.labels import held_out
 from tarnfall.llm.oracles import ORACLES as _SQL
 
@@ -90,6 +90,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("x", longest).withColumns(sums).selectExpr("doc_id", *values, *sums)
 
 
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    hit = decontaminate.hit_words()
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), listed, (hit > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -102,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "op9_block_mix": op9_block_mix,
     "op10_kd_topk": op10_kd_topk,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_decontaminate": op12_decontaminate,
 }
 
 ORACLES: dict[str, str] = dict(_SQL)
