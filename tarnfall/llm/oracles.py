@@ -86,4 +86,25 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIG
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)"""
 
-ORACLES = {"op7_line_rules": OP7, "op8_warc": OP8, "op10_kd_topk": OP10, "op11_periodic_runs": OP11, "op12_decontaminate": OP12}
+OP13 = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = c.base WHERE pos <= h
+  UNION ALL SELECT conv_id, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos > h),
+s AS (SELECT conv_id, list(concat(strlen(role), ':', role, text) ORDER BY pos) AS w, list(strlen(text) ORDER BY pos) AS z FROM r GROUP BY conv_id),
+a AS (SELECT conv_id, coalesce(w, []) AS w, coalesce(z, []) AS z FROM c LEFT JOIN s USING (conv_id)),
+p AS (SELECT conv_id, d, w[1:d] AS k, CASE WHEN d > 0 THEN z[d] ELSE 0 END AS bytes, d = len(w) AS ends FROM (SELECT *, unnest(range(len(w) + 1)) AS d FROM a)),
+n AS (
+  SELECT d, k, min(conv_id) AS conv_id, count(*) AS n, min(bytes) AS bytes, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM p GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS kids FROM n WHERE d > 0 GROUP BY ALL),
+x AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN kids USING (d, k)),
+sub AS (SELECT b AS d, k[1:b] AS k, sum((n - 1) * bytes) AS spare, count(*) FILTER (kids = 0) AS leaves FROM (SELECT *, unnest(range(d + 1)) AS b FROM x) GROUP BY ALL)
+SELECT x.conv_id, CAST(x.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, CAST(x.n AS BIGINT) AS n_convs, CAST(x.kids AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(spare AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM x JOIN sub USING (d, k) LEFT JOIN n up ON up.d = x.d - 1 AND up.k = x.k[1:x.d - 1]"""
+
+ORACLES = {"op7_line_rules": OP7, "op8_warc": OP8, "op10_kd_topk": OP10, "op11_periodic_runs": OP11, "op12_decontaminate": OP12, "op13_prefix_trie": OP13}

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfall.llm import block_mix, decontaminate, hash_ring, kd_topk, line_rules, periodic_runs, quality, simhash_trie, token_files, toxicity, warc, word_bpe
+from tarnfall.llm import block_mix, decontaminate, hash_ring, kd_topk, line_rules, periodic_runs, prefix_trie, quality, simhash_trie, token_files, toxicity, warc, word_bpe
 from tarnfall.llm.labels import held_out
 from tarnfall.llm.oracles import ORACLES as _SQL
+from tarnfall.llm.shared import saved
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,6 +98,21 @@ def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), listed, (hit > 0).alias("contaminated"))
 
 
+def rebuilt_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The turns of the rebuilt conversations, and their ids. turns: saved. A conversation begins with up to eight turns of the
+    one whose id ends its group of five; a key of the join has at most five conversations and eight turns."""
+    h = (F.crc32(F.col("conv_id").cast("string")) % 9).alias("h")
+    ids = turns.where("pos = 1").select("conv_id", (F.col("conv_id") - F.col("conv_id") % 5).alias("base"), h)
+    first = turns.where("pos <= 8").withColumnRenamed("conv_id", "base")
+    begun = ids.join(first, "base").where("pos <= h").select("conv_id", "pos", "digest", "bytes")
+    return begun.unionByName(turns.where(F.col("pos") > F.crc32(F.col("conv_id").cast("string")) % 9)), ids.select("conv_id")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = saved(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie.nodes(prefix_trie.sequences(*rebuilt_turns(turns)))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -110,6 +126,7 @@ QUERIES: dict[str, Query] = {
     "op10_kd_topk": op10_kd_topk,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_decontaminate": op12_decontaminate,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = dict(_SQL)
