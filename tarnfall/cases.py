@@ -20,6 +20,7 @@ from tarnfall.operators.detect.client_secrets import client_secrets
 from tarnfall.operators.detect.metadata_authz import metadata_authz
 from tarnfall.operators.detect.row_security import edge_functions, final_state, row_security
 from tarnfall.operators.detect.secret_rules import secret_rules
+from tarnfall.operators.detect.tree_rules import tree_rules
 from tarnfall.operators.detect.taint import dangerous_html, prompt_injection
 from tarnfall.operators.normalize import normalize
 from tarnfall.sources import files, sarif
@@ -183,6 +184,30 @@ secret_query("detect_secret_rules", SECRETS, secret_rules)
 policy_query("detect_row_security", POLICIES, row_security)
 policy_query("detect_edge_functions", EDGES, edge_functions)
 
+#: Code below a document's text, and the findings in it: line of the code, rule, severity.
+PYTHON = [
+    ("import hashlib as h\nkey{id} = h.md5(text)\nsafe = h.sha256(text)", [(2, "baseline-weak-hash-python", "medium")]),
+    ("from subprocess import run\nrun('grep ' + word{id}, shell=True)\nrun(['grep', word{id}])\nrun('ls', shell=True)", [(2, "baseline-command-injection-python", "high")]),
+    ("cur.execute('SELECT ' + a{id} + ' FROM t')\ncur.execute('SELECT %s', (a{id},))\ncur.execute(f'SELECT {a{id}}')", [(1, "baseline-sql-injection-python", "high"), (3, "baseline-sql-injection-python", "high")]),
+    ("eval('{id}')\nif x{id}:\n  exec(\n    x{id})", [(3, "baseline-eval-python", "high")]),
+    ("import pickle, yaml\na{id} = pickle.loads(b)\nyaml.load(b, Loader=yaml.SafeLoader)", [(2, "baseline-insecure-deserialization-python", "high")]),
+    ("eval(x{id}", []),
+]
+_PYTHON = ", ".join("(" + ", ".join(map(_quote, (k, *row))) + ")" for k, (_, found) in enumerate(PYTHON) for row in found)
+
+
+@query("detect_python_patterns", f"""WITH c(k, line, rule_id, severity) AS (VALUES {_PYTHON})
+SELECT 'd' || doc_id || '.py' AS file, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 + line AS INTEGER) AS start_line, rule_id, severity FROM documents JOIN c ON c.k = doc_id % {len(PYTHON)}""")
+def detect_python_patterns(spark, sf_dir):
+    """Whole documents as comments of a Python file, and code below them, whose lines depend on the text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    code = F.get(F.array(*(F.lit(text) for text, _ in PYTHON)), F.pmod("doc_id", F.lit(len(PYTHON))).cast("int"))
+    text = F.replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\x00]", " "), F.lit("\n"), F.lit("\n# "))
+    content = F.concat(F.lit("# "), text, F.lit("\n"), F.replace(code, F.lit("{id}"), F.col("doc_id").cast("string")))
+    files = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("rel"), F.lit("py").alias("ext"), content.alias("content"))
+    return tree_rules(files).select("file", "start_line", "rule_id", "severity")
+
+
 _NAME = "replace({}, '{{id}}', CAST(doc_id AS VARCHAR)) AS {}"
 
 

@@ -17,6 +17,7 @@ from tarnfall.model import MAX_FINDINGS, SCAN, SCANNERS, SEVERITY_RANK, nested
 from tarnfall.operators import compliance, dedup, diff, rank, route, summary
 from tarnfall.operators.detect.runner import run_analyzers
 from tarnfall.operators.detect.secret_rules import secret_rules
+from tarnfall.operators.detect.tree_rules import tree_rules
 from tarnfall.operators.normalize import normalize
 from tarnfall.sources import files as source_files
 from tarnfall.sources import rules, sarif, store
@@ -91,6 +92,9 @@ def scan(spark: SparkSession, path: str, sarif_logs: dict[str, str] | None = Non
     if "gitleaks" in engines and "gitleaks" not in ran:
         raw, ran = raw.unionByName(secret_rules(read)), ran | {"gitleaks"}
         warnings.append("secrets: only the rules that need no external engine ran")
+    if "opengrep" in engines and "opengrep" not in ran:
+        raw = raw.unionByName(tree_rules(read))  # the engine counts as not run: its other rules prove nothing
+        warnings.append("patterns: only the rules on Python that need no external engine ran")
     if "analyzer" in engines:
         own, notes, more = run_analyzers(read, apart=True)
         raw, ran, known, warnings = raw.unionByName(own), ran | {"analyzer"}, known | more, warnings + notes
