@@ -23,7 +23,7 @@ from tarnfall.operators.detect.secret_rules import secret_rules
 from tarnfall.operators.detect.tree_rules import tree_rules
 from tarnfall.operators.detect.taint import dangerous_html, prompt_injection
 from tarnfall.operators.normalize import normalize
-from tarnfall.sources import files, sarif
+from tarnfall.sources import files, ignore_rules, sarif
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -349,6 +349,24 @@ def chosen_source_files(spark, sf_dir):
     return read.unionByName(files.oversized_build_files(listed, files.MAX_BYTES, 3_000_000).select("rel", no.alias("read_as_source"), yes.alias("too_large_build")))
 
 
+_IGNORE = [
+    (".gitignore", "# logs\n*.log\n/src1/de/\nsrc2/**\n*.tar.gz\n!d?.tar.gz\n"),
+    ("src3/.gitignore", "!*.log\n/en/d*7.md\n"),
+    ("src4/.gitignore", "fr/\n"),
+]
+_ENDS = ["log", "tmp", "md", "tar.gz", "txt"]
+
+
+@query("ignored_paths", """SELECT source || '/' || lang || '/d' || doc_id || '.' || e AS file FROM (SELECT *, ['log', 'tmp', 'md', 'tar.gz', 'txt'][doc_id % 5 + 1] AS e FROM documents)
+WHERE (source = 'src1' AND lang = 'de') OR source = 'src2' OR (source = 'src4' AND lang = 'fr') OR (e = 'log' AND source <> 'src3') OR (e = 'tar.gz' AND doc_id > 9) OR (e = 'md' AND source = 'src3' AND lang = 'en' AND doc_id % 10 = 7)""")
+def ignored_paths(spark, sf_dir):
+    """Paths made of every document's source, language and id, against ignore files at the top and in two folders."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    end = F.get(F.array(*map(F.lit, _ENDS)), F.pmod("doc_id", F.lit(5)).cast("int"))
+    paths = docs.select(F.concat("source", F.lit("/"), "lang", F.lit("/d"), F.col("doc_id").cast("string"), F.lit("."), end).alias("file"))
+    return ignore_rules.ignored(paths, spark.createDataFrame(_IGNORE, "rel string, content string"))
+
+
 @query("ruleset_signatures", "SELECT source, 'sha256:' || sha256(array_to_string(list_sort(list(doc_id || chr(0) || md5(coalesce(text, '')))), chr(10))) AS signature FROM documents GROUP BY source")
 def ruleset_signatures(spark, sf_dir):
     """One signature of each set of files, whatever the order of its rows."""

@@ -19,6 +19,7 @@ from tarnfall.operators.detect.runner import run_analyzers
 from tarnfall.operators.detect.secret_rules import secret_rules
 from tarnfall.operators.detect.tree_rules import tree_rules
 from tarnfall.operators.normalize import normalize
+from tarnfall.sources.ignore_rules import IGNORE_FILE, ignored_below
 from tarnfall.sources import files as source_files
 from tarnfall.sources import rules, sarif, store
 
@@ -78,7 +79,8 @@ class Scan:
 def scan(spark: SparkSession, path: str, sarif_logs: dict[str, str] | None = None, scanners: list[str] | None = None, threshold: str | None = None, most: int = MAX_FINDINGS, ignored: DataFrame | None = None, signatures: dict[str, str] | None = None) -> Scan:
     """Scans a folder. ``sarif_logs``: engine and path of its log; a missing file means that the engine did not run.
 
-    ``signatures``: of the external engines' components, as far as they are known.
+    ``ignored``: paths (file) that version control ignores; without it the folder's ignore files decide, or file names where
+    there are none. ``signatures``: of the external engines' components, as far as they are known.
     """
     if threshold is not None and threshold not in SEVERITY_RANK:
         raise ValueError(f"unknown severity: {threshold}")
@@ -100,6 +102,8 @@ def scan(spark: SparkSession, path: str, sarif_logs: dict[str, str] | None = Non
         raw, ran, known, warnings = raw.unionByName(own), ran | {"analyzer"}, known | more, warnings + notes
     warnings += [f"{e} did not run: no log" for e in engines if e not in ran]
     raw = raw.persist()
+    if ignored is None and not read.where(F.regexp_extract("rel", r"([^/]*)$", 1) == IGNORE_FILE).isEmpty():
+        ignored = ignored_below(read, raw.select("file"))
     decided = route.decided(raw, ignored)
     merged = compliance.tag(dedup.dedup(route.apply(decided)))
     shown = rank.at_least(merged, threshold).persist()
