@@ -107,10 +107,13 @@ POLICIES = [
     ({_M + "1.sql": "create policy p on storage.objects for select using (true);"}, [(_M + "1.sql", 1, "high", "storage-rls-public", "medium")]),
     ({"supabase/schema.sql": _NOTES + "create policy p on notes for insert with check (true);" + _ON}, [("supabase/schema.sql", 2, "critical", "rls-using-true", "medium")]),
     ({_M + "1.sql": _NOTES, _M + "archive/2.sql": _ON}, [(_M + "1.sql", 1, "high", "rls-missing", "medium")]),
+    ({"db/migrations/1.sql": _NOTES + "create policy p on notes using (true);"}, []),
+    ({"db/migrations/1.sql": _NOTES, "db/views.sql": "select auth.uid()"}, [("db/migrations/1.sql", 1, "high", "rls-missing", "medium")]),
 ]
 EDGES = [
     ({"supabase/functions/a/index.ts": "Deno.serve(async (r) => new Response('{id}'))", _M + "1.sql": "-- {id}"}, [("supabase/functions/a/index.ts", 1, "high", "edge-fn-no-auth", "medium")]),
-    ({"supabase/functions/b/index.ts": "Deno.serve(r => check(r.headers.get('Authorization')))"}, []),
+    ({"supabase/functions/b/index.ts": "Deno.serve(r => check(r.headers.get('Authorization')))", _M + "1.sql": "-- {id}"}, []),
+    ({"supabase/functions/d/index.ts": "Deno.serve(r => r)", "db/a.sql": "select {id}"}, []),
     ({"src/c.ts": "serve(x{id})"}, []),
 ]
 #: Files of one folder of migrations, and its tables and policies at the end: what, table, policy, command, roles, enabled.
@@ -170,10 +173,12 @@ def secret_query(name: str, cases: list, detector: Callable[[DataFrame], DataFra
         return detector(project_files(_documents(spark, sf_dir), cases)).select("file", "start_line", "severity", "rule_id", "secret_value_hash")
 
 
-def policy_query(name: str, cases: list, detector: Callable[[DataFrame], DataFrame]) -> None:
+def policy_query(name: str, cases: list, detector: Callable[[DataFrame, tuple[str, ...]], DataFrame]) -> None:
     @query(name, spread(cases, "rel, line, severity, rule_id, confidence", f"{_FILE}, rule_id, confidence"))
     def run(spark, sf_dir):
-        return detector(project_files(_documents(spark, sf_dir), cases)).select("file", "start_line", "severity", "rule_id", "confidence")
+        """One project for each document: each passes the gate, or does not, by itself."""
+        files = project_files(_documents(spark, sf_dir), cases).withColumn("target", F.regexp_extract("rel", "^([^/]+)/", 1))
+        return detector(files, ("target",)).select("file", "start_line", "severity", "rule_id", "confidence")
 
 
 analyzer_query("detect_prompt_injection", PROMPTS, prompt_injection, "prompt-injection-sink")

@@ -18,11 +18,12 @@ def _list(values: tuple[str, ...]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.lit(None).cast("array<string>")
 
 
-def analyzer_findings(seen: DataFrame, rule: str, web: tuple[str, ...] = (), is_secret: bool = False) -> DataFrame:
+def analyzer_findings(seen: DataFrame, rule: str, web: tuple[str, ...] = (), is_secret: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Findings of one rule.
 
     seen: file, start_line, snippet, title, severity, message, confidence; ``owasp_llm`` and ``secret_value_hash`` if
-    there are any. Snippets of secrets are redacted whatever their shape, others where a known pattern matches.
+    there are any. Snippets of secrets are redacted whatever their shape, others where a known pattern matches. ``by``:
+    columns that stay, in front of those of a finding.
     """
     cwe = F.array(*map(F.lit, _CWE[rule]))
     rows = seen.withColumns({"engine": F.lit("analyzer"), "rule_id": F.lit(rule), "cwe": cwe, "end_line": F.col("start_line"), "finding_kind": F.lit("ai")})
@@ -39,4 +40,4 @@ def analyzer_findings(seen: DataFrame, rule: str, web: tuple[str, ...] = (), is_
         "producer_components": F.array(F.lit(f.PIPELINE), F.lit(f.AI_INVOCATION), F.lit(f.RULE_COMPONENT[rule])),
         "fingerprint": f.fingerprint(F.lit("analyzer"), F.col("file"), F.col("start_line"), F.col("end_line"), F.lit(_CWE[rule][0]), F.lit(rule), hashed),
     })
-    return conform(rows).select(COLUMNS)
+    return conform(rows, by).select(*by, *COLUMNS)
