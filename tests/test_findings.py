@@ -78,8 +78,8 @@ def test_routing(spark):
     rows = table(spark, {"file": "node_modules/a.js"}, {"file": "dist/a.js"}, {"file": "dist/b.js", "engine": "gitleaks", "is_secret": True, "rule_id": "aws-key"}, {"file": "dist/c.js", "engine": "gitleaks", "is_secret": True, "rule_id": "generic"}, {"file": ".env", "severity": "critical"}, {"file": ".env.example"}, {"file": "x.bak", "severity": "info"})
     got = {r.file: r for r in route.route(rows).collect()}
     assert set(got) == {"dist/a.js", "dist/b.js", ".env", ".env.example", "x.bak"}
-    assert got[".env"].severity == "low" and got[".env"].title.startswith("Local hygiene") and got["x.bak"].severity == "info"
-    assert "shipped" in got["dist/a.js"].message and got[".env.example"].message == "m"
+    assert got[".env"].severity == "low" and got[".env"].title.startswith("Only on this machine") and got["x.bak"].severity == "info"
+    assert "browsers load it" in got["dist/a.js"].message and got[".env.example"].message == "m"
     assert route.route_stats(route.decided(rows)).first().asDict() == {"dropped_node_modules": 1, "dropped_build_noise": 1, "reframed": 2, "kept": 3}
     ignored = spark.createDataFrame([("src/a.ts",)], "file string")
     assert [r.severity for r in route.route(table(spark, {}, {"file": "src/b.ts"}), ignored).orderBy("file").collect()] == ["low", "high"]
