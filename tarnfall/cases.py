@@ -24,6 +24,8 @@ from tarnfall.operators.detect.tree_rules import tree_rules
 from tarnfall.operators.detect.taint import dangerous_html, prompt_injection
 from tarnfall.operators.normalize import normalize
 from tarnfall.sources import files, ignore_rules, sarif
+from tarnfall.sources.tables import shared_dir
+from tarnfall.sources.tree import opened
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -354,6 +356,32 @@ def chosen_source_files(spark, sf_dir):
     return read.unionByName(files.oversized_build_files(listed, files.MAX_BYTES, 3_000_000).select("rel", no.alias("read_as_source"), yes.alias("too_large_build")))
 
 
+def _written(batches):
+    """Each text as a file below the folder, under its relative path."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            fs, path = opened(row["path"])
+            fs.create_dir(path.rpartition("/")[0], recursive=True)
+            with fs.open_output_stream(path) as out:
+                out.write((row["text"] or "").encode())
+        yield batch.select(["path"])
+
+
+_FILE_OF = "coalesce(source, 'none') || '/' || ['src', 'dist', 'node_modules', 'lib'][doc_id % 4 + 1] || '/d' || doc_id || ['.TS', '.css', '.ts'][doc_id % 3 + 1]"
+
+
+@query("files_listed_and_read", f"""SELECT rel, 'ts' AS ext, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, sha256(coalesce(text, '')) AS digest FROM (SELECT {_FILE_OF} AS rel, doc_id, text FROM documents)
+WHERE doc_id % 3 <> 1 AND doc_id % 4 NOT IN (1, 2) AND strlen(coalesce(text, '')) <= 20000""")
+def files_listed_and_read(spark, sf_dir):
+    """Every document as a file of a folder; the folder is listed by executors, and chosen files are read."""
+    root = shared_dir(spark, "files")
+    rel = F.expr(_FILE_OF.replace("['src', 'dist', 'node_modules', 'lib'][doc_id % 4 + 1]", "element_at(array('src', 'dist', 'node_modules', 'lib'), int(doc_id % 4 + 1))").replace("['.TS', '.css', '.ts'][doc_id % 3 + 1]", "element_at(array('.TS', '.css', '.ts'), int(doc_id % 3 + 1))"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit(f"{root}/"), rel).alias("path"), "text")
+    docs.mapInArrow(_written, "path string").agg(F.count("*")).collect()
+    chosen = files.source_files(files.manifest(spark, root), ("ts",), max_bytes=20_000)
+    return files.read_contents(chosen).select("rel", "ext", "size", F.sha2("content", 256).alias("digest"))
+
+
 _IGNORE = [
     (".gitignore", "# logs\n*.log\n/src1/de/\nsrc2/**\n*.tar.gz\n!d?.tar.gz\n"),
     ("src3/.gitignore", "!*.log\n/en/d*7.md\n"),

@@ -8,7 +8,7 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tarnfall.functions.secrets import find_secret
+from tarnfall.functions.secrets import bound, find_secret
 from tarnfall.model import NO_CWE, REMEDIATION
 
 PIPELINE = "pipeline"
@@ -75,10 +75,17 @@ def kind(engine: Column, secret: Column, name: Column, tags: Column) -> Column:
 
 
 def first_sentence(text: Column, most: int = 100) -> Column:
+    """Up to the first full stop before a space, white space made single; shortened with an ellipsis."""
+
+    def cut(flat: Column) -> Column:
+        dot = F.instr(flat, ". ")
+        return F.when(dot > 1, F.substring(flat, F.lit(1), dot)).otherwise(flat)
+
+    def shortened(sentence: Column) -> Column:
+        return F.when(F.length(sentence) > most, F.concat(F.rtrim(F.substring(sentence, 1, most)), F.lit("…"))).otherwise(sentence)
+
     flat = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"^ | $", "")
-    dot = F.instr(flat, ". ")
-    sentence = F.when(dot > 1, F.substring(flat, F.lit(1), dot)).otherwise(flat)
-    return F.when(F.length(sentence) > most, F.concat(F.rtrim(F.substring(sentence, 1, most)), F.lit("…"))).otherwise(sentence)
+    return bound(bound(flat, cut), shortened)
 
 
 def title(short: Column, name: Column, message: Column, raw_rule: Column, rule_id: Column, secret: Column) -> Column:

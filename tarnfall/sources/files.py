@@ -1,52 +1,25 @@
 """Source files as DataFrames: a manifest of metadata first, contents of the chosen files later.
 
-Spark's file sources leave out names that begin with a dot or an underscore, whatever path they are given. So the manifest
-comes from the file system's own listing (names and sizes only; any store that Hadoop reads), and of the chosen files those
-with such names are opened by the executors themselves. Folders that are never read are not even listed.
+Spark's file sources leave out names that begin with a dot or an underscore, whatever path they are given, and list through
+the driver. So the manifest is a data source of its own (:mod:`tree`), whose folders executors list, and executors open
+the chosen files. Folders that are never read are not even listed.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
-import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfall.functions.paths import in_build_output
-from tarnfall.model import BUILD_DIRS, PRUNED_DIRS
+from tarnfall.model import BUILD_DIRS
+from tarnfall.sources.tree import contents, manifest
 
-MANIFEST = "rel string, ext string, size long, path string"
+__all__ = ["manifest", "source_files", "oversized_build_files", "read_contents", "lines", "line_of"]
 FILES = "rel string, ext string, size long, content string"
 MAX_BYTES = 2 << 20
 CODE = ("ts", "tsx", "js", "jsx", "mjs", "cjs")
 
 
-def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """rel, ext, size and path of every file below a folder, build output included; a file as root has none."""
-    jvm = spark._jvm
-    start = jvm.org.apache.hadoop.fs.Path(root)
-    fs = start.getFileSystem(spark._jsc.hadoopConfiguration())
-    rows, folders = [], [("", start)] if fs.exists(start) and fs.getFileStatus(start).isDirectory() else []
-    while folders:
-        prefix, folder = folders.pop()
-        try:
-            found = fs.listStatus(folder)
-        except Exception:  # noqa: BLE001  an unreadable folder is skipped, as an unreadable file is
-            continue
-        for status in found:
-            name = status.getPath().getName()
-            if status.isDirectory():
-                if name not in PRUNED_DIRS:
-                    folders.append((f"{prefix}{name}/", status.getPath()))
-            else:
-                ext = name.rpartition(".")[2].lower() if re.match(r".+\.", name) else ""
-                rows.append((prefix + name, ext, status.getLen(), status.getPath().toString()))
-    return spark.createDataFrame(rows, MANIFEST)
-
-
 def source_files(found: DataFrame, exts: tuple[str, ...] = (), include_built: bool = False, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The rows of a manifest that analyzers read: by extension (none given: all), size, and outside of build output."""
     rows = found.where(F.col("size") <= max_bytes)
@@ -66,35 +39,10 @@ def _below_build(rel: str) -> Column:
     return F.arrays_overlap(F.slice(F.split(rel, "/"), 1, F.greatest(F.size(F.split(rel, "/")) - 1, F.lit(0))), F.array(*map(F.lit, BUILD_DIRS)))
 
 
-def open_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """path, content of each path; files that are gone are left out."""
-    for batch in batches:
-        for path in batch.column("path").to_pylist():
-            fs, inner = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
-            try:
-                with fs.open_input_stream(inner) as f:
-                    content = f.read()
-            except FileNotFoundError:
-                continue
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], names=["path", "content"])
-
-
 def read_contents(chosen: DataFrame) -> DataFrame:
-    """rel, ext, size, content of a manifest's rows; bytes that are no UTF-8 become replacement characters.
-
-    The driver holds the chosen paths, never contents; files that vanish meanwhile are left out.
-    """
-    spark = chosen.sparkSession
-    hidden = F.element_at(F.split("path", "/"), -1).rlike("^[._]")
-    paths = [r.path for r in chosen.where(~hidden).select("path").collect()]
-    own = chosen.where(hidden & (F.col("size") > 0)).select("path").mapInArrow(open_files, "path string, content binary")
-    if paths:
-        own = own.unionByName(spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(paths).select("path", "content"))
-    tail = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")  # noqa: E731  file:/a and file:///a are one path
-    read = own.select(tail(F.col("path")).alias("key"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
-    both = chosen.withColumn("key", tail(F.col("path"))).join(read, "key", "left")
-    content = F.coalesce("content", F.when(F.col("size") == 0, ""))  # the source leaves out empty files
-    return both.select("rel", "ext", "size", content.alias("content")).where("content is not null")
+    """rel, ext, size, content of a manifest's rows; bytes that are no UTF-8 become replacement characters. Files that vanish
+    meanwhile or may not be read are left out."""
+    return contents(chosen).select("rel", "ext", "size", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def lines(files: DataFrame) -> DataFrame:
