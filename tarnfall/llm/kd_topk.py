@@ -10,9 +10,10 @@ only what can still enter the result. Queries go in blocks: a task holds one sha
 
 Defined results: rows with null or non-finite components, or without a vector, take no part, nor do vectors of a length
 other than the query's. All other finite vectors do: inner products are exact whatever their size, a score beyond a long
-is reported as the least or greatest long (more than -2**63), and such scores tie. Ties go to the smaller vec_id. Rows that repeat a vec_id are candidates of their own for other
-ids' queries, and a repeated query id is asked once; rows with the query's own id are no candidates. Null ids take no
-part. Fewer than k candidates give fewer rows.
+is reported as the least or greatest long (more than -2**63), and such scores tie. Ties go to the smaller vec_id. Every
+query row has its own k results: an id on several vectors is asked with each of them, and a row that comes twice has its
+results twice. Rows that repeat a vec_id are candidates of their own for other ids' queries; rows with the query's own id
+are no candidates. Null ids take no part. Fewer than k candidates give fewer rows.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tarnfall.llm.shared import bound_batches, saved
 
-FOUND = "query_id long, vec_id long, score long"
-OUT = pa.schema([(c, pa.int64()) for c in ("query_id", "vec_id", "score")])
+FOUND = "query long, query_id long, vec_id long, score long"
+OUT = pa.schema([(c, pa.int64()) for c in ("query", "query_id", "vec_id", "score")])
 
 
 class KdTree:
@@ -117,22 +118,24 @@ def scaled(embedding: Column, scale: int) -> Column:
 
 
 def packed(rows: DataFrame, key: str) -> DataFrame:
-    """One row (key, ids, dim, vectors) per key and batch of Arrow rows: the rows of a key are sent as arrays, not row by row."""
+    """One row (key, dim, ids, queries, vectors) per key and batch of Arrow rows: the rows of a key are sent as arrays, not row by
+    row. rows: key, vec_id, query (a number of the row, if rows are queries), v."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, ids = batch.column(key).to_numpy(), batch.column("vec_id").to_numpy()
+            keys, ids, queries = (batch.column(c).to_numpy() for c in (key, "vec_id", "query"))
             dims = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
             flat, at = batch.column("v").flatten().to_numpy(), np.concatenate([[0], np.cumsum(dims)])
             for k, dim in {*zip(keys.tolist(), dims.tolist(), strict=True)}:
                 own = np.flatnonzero((keys == k) & (dims == dim))
                 vectors = flat[at[own][:, None] + np.arange(dim)]
                 small = vectors.astype(np.int32) if np.abs(vectors).max(initial=0) < 2**31 else vectors  # else doubles, whole too
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([dim], pa.int32()), pa.array([ids[own].astype(np.int64).tobytes()]), pa.array([small.tobytes()])], names=["key", "dim", "ids", "vectors"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([dim], pa.int32()), *(pa.array([x[own].astype(np.int64).tobytes()]) for x in (ids, queries)), pa.array([small.tobytes()])], names=["key", "dim", "ids", "queries", "vectors"])
 
-    return rows.select(F.col(key).cast("int").alias(key), "vec_id", "v").mapInArrow(run, "key int, dim int, ids binary, vectors binary")
+    number = F.col("query") if "query" in rows.columns else F.lit(0).cast("long")
+    return rows.select(F.col(key).cast("int").alias(key), "vec_id", number.alias("query"), "v").mapInArrow(run, "key int, dim int, ids binary, queries binary, vectors binary")
 
 
 def arrays(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,19 +153,19 @@ def search_shard(shard: list[dict], queries: list[dict], k: int) -> Iterator[pa.
     """Searches all of a shard's KD-trees, one per vector length, for all queries."""
     for dim in {r["dim"] for r in shard}:
         own = [arrays(r["ids"], r["vectors"], dim) for r in shard if r["dim"] == dim]
-        asked = [(*arrays(r["ids"], r["vectors"], dim), np.frombuffer(r["floors"], np.int64)) for r in queries if r["dim"] == dim]
+        asked = [(*arrays(r["ids"], r["vectors"], dim), np.frombuffer(r["floors"], np.int64), np.frombuffer(r["queries"], np.int64)) for r in queries if r["dim"] == dim]
         if not asked:
             continue
         ids, vectors = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])
         large = max(float(np.abs(x).max(initial=0)) for x in [vectors, *(q[1] for q in asked)])
         tree = KdTree(exact(vectors, large))
         ids = ids[tree.order]
-        for query_ids, rows, floors in asked:
+        for query_ids, rows, floors, numbers in asked:
             rows = exact(rows, large)
             for lo in range(0, len(rows), 256):
                 some = query_ids[lo : lo + 256]
                 row, found, score = tree.search(rows[lo : lo + 256], some, floors[lo : lo + 256], ids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (some[row], found, score)], schema=OUT)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (numbers[lo : lo + 256][row], some[row], found, score)], schema=OUT)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, shard_rows: int = 16384, block: int = 512, blocks_per_task: int = 16) -> DataFrame:
@@ -173,13 +176,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, sh
     spark = vectors.sparkSession
     bound_batches(spark)
     rows = vectors.where("vec_id is not null and embedding is not null").select("vec_id", is_query.alias("q"), scaled(F.col("embedding"), scale).alias("v")).where("v is not null")
-    rows = saved(rows.withColumn("h", F.xxhash64("vec_id", "v")), "vectors")
+    rows = saved(rows.withColumn("h", F.xxhash64("vec_id", "v", F.monotonically_increasing_id())), "vectors")  # rows that repeat go to many shards
     shards = max(1, -(-rows.count() // shard_rows))
     pack = packed(rows.withColumn("key", F.pmod("h", F.lit(shards)).cast("int")).repartition(shards, "key").sortWithinPartitions("key"), "key")
     pack = saved(pack, "shards").withColumnRenamed("key", "shard")
-    asked = rows.where("q").dropDuplicates(["vec_id"])
-    blocks = max(1, -(-asked.count() // block))
-    asked = saved(packed(asked.withColumn("key", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).repartition(min(blocks, 4096), "key").sortWithinPartitions("key"), "key"), "queries")
+    distinct = saved(rows.where("q").groupBy("vec_id", "v").agg(F.count("*").alias("times")).withColumn("query", F.xxhash64("vec_id", "v")), "distinct")
+    blocks = max(1, -(-distinct.count() // block))
+    asked = saved(packed(distinct.withColumn("key", F.pmod("query", F.lit(blocks)).cast("int")).repartition(min(blocks, 4096), "key").sortWithinPartitions("key"), "key"), "queries")
     group = F.expr(f"key div {blocks_per_task}").cast("int")
     groups = -(-blocks // blocks_per_task)
     home = F.pmod(F.xxhash64(F.lit("home"), "key"), F.lit(shards)).cast("int")
@@ -201,20 +204,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, sh
             n = [len(x) // 8 for x in b.column("ids").to_pylist()]
             yield b.append_column("floors", pa.array([np.full(x, lowest).tobytes() for x in n], pa.binary()))
 
-    packed_schema = "key int, dim int, ids binary, vectors binary, floors binary"
+    packed_schema = "key int, dim int, ids binary, queries binary, vectors binary, floors binary"
     first = saved(search(asked.mapInArrow(no_floor, packed_schema).withColumn("shard", home).withColumn("group", group)), "home")
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
-    kth = kth.withColumn("key", F.pmod(F.xxhash64(F.col("query_id")), F.lit(blocks)).cast("int")).groupBy("key").agg(F.collect_list(F.struct("query_id", "floor")).alias("known"))
+    ranked = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    kth = first.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
+    kth = kth.withColumn("key", F.pmod("query", F.lit(blocks)).cast("int")).groupBy("key").agg(F.collect_list(F.struct("query", "floor")).alias("known"))
 
     def with_floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                known = {x["query_id"]: x["floor"] for x in row["known"] or ()}
-                of = np.array([known.get(i, lowest) for i in np.frombuffer(row["ids"], np.int64).tolist()], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([row["key"]], pa.int32()), pa.array([row["dim"]], pa.int32()), pa.array([row["ids"]]), pa.array([row["vectors"]]), pa.array([of.tobytes()])], names=["key", "dim", "ids", "vectors", "floors"])
+                known = {x["query"]: x["floor"] for x in row["known"] or ()}
+                of = np.array([known.get(i, lowest) for i in np.frombuffer(row["queries"], np.int64).tolist()], np.int64)
+                same = [pa.array([row[c]]) for c in ("ids", "queries", "vectors")]
+                yield pa.RecordBatch.from_arrays([pa.array([row["key"]], pa.int32()), pa.array([row["dim"]], pa.int32()), *same, pa.array([of.tobytes()])], names=["key", "dim", "ids", "queries", "vectors", "floors"])
 
-    told = saved(asked.join(kth, "key", "left").select("key", "dim", "ids", "vectors", "known").mapInArrow(with_floors, packed_schema), "told")
+    told = saved(asked.join(kth, "key", "left").select("key", "dim", "ids", "queries", "vectors", "known").mapInArrow(with_floors, packed_schema), "told")
     others = told.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != home).withColumn("group", group)
     found = first.unionByName(search(others)) if shards > 1 else first
-    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    again = distinct.where("times > 1").select("query", "times")
+    if not again.isEmpty():
+        best = best.join(again, "query", "left").withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("times", F.lit(1)))))
+    return best.select("query_id", "rank", "vec_id", "score")
