@@ -25,6 +25,7 @@ from tarnfall.operators.detect.taint import dangerous_html, prompt_injection
 from tarnfall.operators.normalize import normalize
 from tarnfall.sources import files, ignore_rules, sarif
 from tarnfall.sources.tables import shared_dir
+from tarnfall.streaming import policy_state
 from tarnfall.sources.tree import opened
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -225,6 +226,20 @@ def policy_state_fold(spark, sf_dir):
     return state.select("unit", "what", "table_name", "policy", "command", F.array_join("roles", ",").alias("roles"), "enabled")
 
 
+@query("policy_state_stream", ORACLES["policy_state_fold"])
+def policy_state_stream(spark, sf_dir):
+    """The same folders, whose files arrive in four batches, later migrations first; the state after the last batch."""
+    files = project_files(_documents(spark, sf_dir), STATES, "db/migrations/").select("rel", "content")
+    root = shared_dir(spark, "policy-stream")
+    part = F.pmod(F.length("content") + F.length("rel"), F.lit(4))
+    for k in range(4):  # one after another: batches follow the times of their files
+        files.where(part == 3 - k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    policy_state.follow(stream, f"{root}/out", f"{root}/checkpoint", availableNow=True).awaitTermination()
+    state = policy_state.state_after(spark.read.parquet(f"{root}/out"))
+    return state.select("unit", "what", "table_name", "policy", "command", F.array_join("roles", ",").alias("roles"), "enabled")
+
+
 def _log(engine: str, rules: list, results: list) -> str:
     return json.dumps({"runs": [{"tool": {"driver": {"name": engine, "rules": rules}}, "results": results}]})
 

@@ -14,7 +14,3 @@ def latest_stream(rows: DataFrame, key: str, by: str, tie: str) -> DataFrame:
     rest = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(by, tie)).alias("row")).select(key, "row.*")
 
-
-def windowed_counts(rows: DataFrame, time: str, window: str, late: str, *keys: str) -> DataFrame:
-    """Rows of each window and key; windows close when ``late`` has passed, and their state goes."""
-    return rows.withWatermark(time, late).groupBy(F.window(time, window).alias("window"), *keys).agg(F.count("*").alias("n"))
