@@ -19,11 +19,12 @@ from tarnfall.operators import summary
 from tarnfall.operators.detect.client_secrets import client_secrets
 from tarnfall.operators.detect.metadata_authz import metadata_authz
 from tarnfall.operators.detect.row_security import edge_functions, final_state, row_security
-from tarnfall.operators.detect.secret_rules import secret_rules
+from tarnfall.operators.detect.secret_rules import entropy, secret_rules, secret_values
 from tarnfall.operators.detect.tree_rules import tree_rules
 from tarnfall.operators.detect.taint import dangerous_html, prompt_injection
 from tarnfall.operators.normalize import normalize
 from tarnfall.sources import files, ignore_rules, sarif
+from tarnfall.sources.rules import GENERIC_RULES
 from tarnfall.sources.tables import shared_dir
 from tarnfall.streaming import policy_state
 from tarnfall.sources.tree import opened
@@ -93,6 +94,20 @@ SECRETS = [
     ({"c.txt": f"{{id}} {_ROLE}"}, []),
     ({"d.txt": "nothing at all {id}"}, []),
 ]
+#: The lines of a text, and the values that a name of a secret or password has on each.
+_TEXT_LINES = "(SELECT doc_id, CAST(generate_subscripts(l, 1) AS INTEGER) AS line, unnest(l) AS x FROM (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS l FROM documents WHERE text IS NOT NULL))"
+_GENERIC = " UNION ALL ".join(f"SELECT doc_id, line, '{rule}' AS rule_id, unnest(regexp_extract_all(x, '{pattern.replace(chr(39), chr(39) * 2)}', 1)) AS v, {least} AS least FROM {_TEXT_LINES}" for rule, _, pattern, _, least in GENERIC_RULES)
+
+
+@query("detect_random_values", f"SELECT doc_id, line, rule_id, 'sha256:' || sha256(v) AS secret_value_hash, CAST(round(1000 * list_aggregate(string_split(v, ''), 'entropy')) AS BIGINT) AS millibits FROM ({_GENERIC}) WHERE list_aggregate(string_split(v, ''), 'entropy') >= least")
+def detect_random_values(spark, sf_dir):
+    """Values under names of secrets in whole documents, by their entropy."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("rel"), F.col("text").alias("content"))
+    found = secret_values(docs.withColumn("rel", F.col("rel").cast("string"))).where(F.col("rule_id").startswith("generic-"))
+    bits = F.round(1000 * entropy(F.col("value"))).cast("long").alias("millibits")
+    return found.select(F.col("file").cast("long").alias("doc_id"), F.col("line_no").alias("line"), "rule_id", secrets.value_hash(F.col("value")).alias("secret_value_hash"), bits)
+
+
 _ON, _NOTES, _M = "alter table notes enable row level security;\n", "create table notes (id int, user_id uuid);\n", "supabase/migrations/"
 POLICIES = [
     ({_M + "1.sql": _NOTES + _ON + "create policy p on notes for select using (true);", _M + "2.sql": "drop policy p on notes;"}, []),

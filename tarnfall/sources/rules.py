@@ -35,6 +35,12 @@ SECRET_RULES = (
     ("service-role-token", "service_role token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", ("service_role", "supabase")),
     ("anthropic-key", "Anthropic API key", r"sk-ant-[A-Za-z0-9_-]{20,}", ("sk-ant-",)),
 )
+#: Our own rules for values of no known shape: (id, name, pattern with the value as its group, keywords, least entropy in bits).
+_VALUE = r"""\s*(?:=|:|=>|:=)\s*["']([A-Za-z0-9+/_.~=-]{%d,200})["']"""
+GENERIC_RULES = (
+    ("generic-token", "Random value under a name of a secret", r"(?i)(?:token|secret|api_?key|access_?key|private_?key|credential)[A-Za-z0-9_]{0,40}" + _VALUE % 16, ("token", "secret", "apikey", "api_key", "accesskey", "access_key", "privatekey", "private_key", "credential"), 3.5),
+    ("generic-password", "Random value under a name of a password", r"(?i)(?:password|passwd|pwd)[A-Za-z0-9_]{0,40}" + _VALUE % 10, ("password", "passwd", "pwd"), 3.0),
+)
 #: Fixed value: the public key of local development, the same everywhere, is no secret.
 ALLOWED = "eyJpc3MiOiJzdXBhYmFzZS1kZW1v"
 
@@ -42,7 +48,7 @@ ALLOWED = "eyJpc3MiOiJzdXBhYmFzZS1kZW1v"
 def rule_rows() -> list[tuple]:
     own = [(i, "analyzer", name, "ai", cwe.split(), "custom") for i, name, cwe in ANALYZER_RULES]
     pattern = [(f"baseline-{i}", "opengrep", i.replace("-", " "), "sast", [cwe], "custom") for i, cwe in PATTERN_RULES]
-    return own + pattern + [(i, "gitleaks", name, "secret", ["CWE-798"], "custom") for i, name, *_ in SECRET_RULES]
+    return own + pattern + [(i, "gitleaks", name, "secret", ["CWE-798"], "custom") for i, name, *_ in (*SECRET_RULES, *GENERIC_RULES)]
 
 
 def rules(spark: SparkSession, engine: str | None = None) -> DataFrame:
