@@ -118,7 +118,8 @@ def scan(spark: SparkSession, path: str, sarif_logs: dict[str, str] | None = Non
     if "trivy" in ran and "trivy:vulnerability-db" not in known:
         warnings.append("dependencies: the vulnerability database's signature is unrecorded, so later scans cannot prove fixes")
     total = shown.count()
-    details = [(e, None, e in ran, e in ran, counts.get(e, 0), None, None) for e in engines]
+    version = {r.engine: r.version for r in sarif.versions(logs).collect()}  # a row for each log
+    details = [(e, version.get(e), e in ran, e in ran, counts.get(e, 0), None, None) for e in engines]
     row = (f"scan-{uuid.uuid4()}", path.rstrip("/"), started, total > most, total, details, known, (list(scanners) if scanners else None, threshold, most), None)
     return Scan(spark.createDataFrame([row], SCAN), shown, rank.limited(shown, most), stats, warnings, channels, coverage)
 

@@ -300,12 +300,16 @@ def remediation_first(spark, sf_dir):
     return found(spark, sf_dir).select("l_orderkey", "l_linenumber", F.col("remediation.references")[0].alias("reference"))
 
 
-_RULES = ", ".join(f"('{i}', '{e}', '{','.join(c)}')" for i, e, _, _, c, _ in rules.rule_rows())
+_RULES = ", ".join(f"('{i}', '{e}')" for i, e, *_ in rules.rule_rows())
 
 
-@query("rules_by_engine", f"SELECT id, engine, cwes FROM (VALUES {_RULES}) r(id, engine, cwes) WHERE engine = 'analyzer'")
+@query("rules_by_engine", f"WITH {FINDINGS}, known AS (SELECT engine, CAST(count(*) AS BIGINT) AS rules FROM (VALUES {_RULES}) r(id, engine) GROUP BY 1) SELECT f.engine, CAST(count(*) AS BIGINT) AS findings, coalesce(any_value(rules), 0) AS rules FROM f LEFT JOIN known USING (engine) GROUP BY 1")
 def rules_by_engine(spark, sf_dir):
-    return rules.rules(spark, "analyzer").select("id", "engine", texts("cwe").alias("cwes"))
+    """How many findings each engine has made, and how many rules of it this package lists."""
+    known = rules.rules(spark).groupBy("engine").agg(F.count("*").alias("rules"))
+    counts = found(spark, sf_dir).groupBy("engine").agg(F.count("*").alias("findings"))
+    return counts.join(known, "engine", "left").select("engine", "findings", F.coalesce("rules", F.lit(0)).cast("long").alias("rules"))
+
 
 QUERIES |= cases.QUERIES
 ORACLES |= cases.ORACLES

@@ -28,6 +28,13 @@ def read_logs(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return out
 
 
+def versions(logs: DataFrame) -> DataFrame:
+    """engine, version: the version that each log's first driver with one tells; a row for each log of an engine."""
+    runs = F.from_json("log", "struct<runs: array<struct<tool: struct<driver: struct<version: string>>>>>")["runs"]
+    told = F.filter(F.transform(runs, lambda r: r["tool"]["driver"]["version"]), lambda v: F.coalesce(v, F.lit("")) != "")
+    return logs.select("engine", F.get(told, F.lit(0)).alias("version"))
+
+
 def _words(value: Column) -> Column:
     """A field that holds a string or an array of strings, as one text. The array is tried first: asked for a string, an array gives its JSON."""
     return F.coalesce(F.concat_ws(" ", F.try_variant_get(value, "$", "array<string>")), F.try_variant_get(value, "$", "string"))

@@ -217,9 +217,9 @@ def test_notes_of_a_scan(spark, tmp_path):
     (tmp_path / "dist/big.js").write_text("x" * (files.MAX_BYTES + 1))
     (tmp_path / ".env").write_text(f"KEY={LIVE}")
     log = tmp_path / "trivy.sarif"
-    log.write_text(json.dumps({"runs": [{"tool": {"driver": {"rules": []}}, "results": [{"ruleId": "AVD-1", "message": {"text": "m"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "dist/a.js"}}}]}]}]}))
+    log.write_text(json.dumps({"runs": [{"tool": {"driver": {"version": "0.51.1", "rules": []}}, "results": [{"ruleId": "AVD-1", "message": {"text": "m"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "dist/a.js"}}}]}]}]}))
     got = api.scan(spark, str(tmp_path), sarif_logs={"trivy": str(log)})
-    assert got.secret_coverage == "verified" and got.suppression == []
+    assert got.secret_coverage == "verified" and got.suppression == [] and "trivy@0.51.1" in got.engines()
     said = " | ".join(got.warnings)
     for text in ("1 findings in build output left out", "findings in ignored files reframed", "1 files of build output were too large", "signature is unrecorded"):
         assert text in said, said
