@@ -408,7 +408,7 @@ def files_listed_and_read(spark, sf_dir):
     rel = F.expr(_FILE_OF.replace("['src', 'dist', 'node_modules', 'lib'][doc_id % 4 + 1]", "element_at(array('src', 'dist', 'node_modules', 'lib'), int(doc_id % 4 + 1))").replace("['.TS', '.css', '.ts'][doc_id % 3 + 1]", "element_at(array('.TS', '.css', '.ts'), int(doc_id % 3 + 1))"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit(f"{root}/"), rel).alias("path"), "text")
     docs.mapInArrow(_written, "path string").agg(F.count("*")).collect()
-    chosen = files.source_files(files.manifest(spark, root), ("ts",), max_bytes=20_000)
+    chosen = files.source_files(files.manifest(spark, root, ("ts",), up_to=20_000), ("ts",), max_bytes=20_000)
     return files.read_contents(chosen).select("rel", "ext", "size", F.sha2("content", 256).alias("digest"))
 
 

@@ -1,7 +1,7 @@
 """A folder of source files as a data source: folders are planned as partitions, executors list them.
 
 The planner lists folders only from the top down until there are enough of them to share out, so the driver never holds
-the paths of the files. Conditions on extension and size are pushed into the listing. A partition is a folder with all
+the paths of the files. Conditions on extension and size are part of the listing. A partition is a folder with all
 that is below it, or the files of a folder whose folders are partitions of their own.
 """
 
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, In, InputPartition, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tarnfall.model import PRUNED_DIRS
 
@@ -22,7 +22,6 @@ FORMAT = "source_tree"
 MANIFEST = "rel string, ext string, size long, path string"
 ARROW = pa.schema([("rel", pa.string()), ("ext", pa.string()), ("size", pa.int64()), ("path", pa.string())])
 ROWS = 4096
-PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -44,24 +43,9 @@ class Folder(InputPartition):
 
 
 class TreeReader(DataSourceReader):
-    def __init__(self, root: str, spread: int):
+    def __init__(self, root: str, spread: int = 256, exts: tuple[str, ...] = (), over: int = -1, up_to: int | None = None):
         self.root, self.spread = root.rstrip("/") or "/", spread
-        self.exts: set[str] | None = None
-        self.least, self.most = -1, None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            match f:
-                case EqualTo(("ext",), value):
-                    self.exts = {value} if self.exts is None else self.exts & {value}
-                case In(("ext",), values):
-                    self.exts = {*values} if self.exts is None else self.exts & {*values}
-                case LessThanOrEqual(("size",), value):
-                    self.most = value if self.most is None else min(self.most, value)
-                case GreaterThan(("size",), value):
-                    self.least = max(self.least, value)
-                case _:
-                    yield f  # the engine tests it itself
+        self.exts, self.over, self.up_to = {e.lower() for e in exts}, over, up_to
 
     def _listed(self, fs: pafs.FileSystem, base: str, rel: str) -> tuple[list[pafs.FileInfo], list[str]]:
         """Files and folders right in a folder; a folder that is gone or may not be read is empty."""
@@ -95,7 +79,7 @@ class TreeReader(DataSourceReader):
             folders += below if partition.deep else []
             for x in files:
                 ext = extension(x.base_name)
-                if (self.exts is None or ext in self.exts) and x.size > self.least and (self.most is None or x.size <= self.most):
+                if (not self.exts or ext in self.exts) and x.size > self.over and (self.up_to is None or x.size <= self.up_to):
                     rows.append({"rel": rel + x.base_name, "ext": ext, "size": x.size, "path": f"{self.root}/{rel}{x.base_name}"})
             while len(rows) >= ROWS:
                 yield pa.RecordBatch.from_pylist(rows[:ROWS], schema=ARROW)
@@ -105,7 +89,8 @@ class TreeReader(DataSourceReader):
 
 
 class SourceTree(DataSource):
-    """Options: ``path``, the folder; ``spread``, how many partitions are planned at least if there are so many folders."""
+    """Options: ``path``, the folder; ``spread``, how many partitions are planned at least if there are so many folders; and
+    what is listed at all: ``exts`` (separated by commas), sizes ``over`` and ``up_to``."""
 
     @classmethod
     def name(cls) -> str:
@@ -115,14 +100,20 @@ class SourceTree(DataSource):
         return MANIFEST
 
     def reader(self, schema) -> TreeReader:
-        return TreeReader(self.options["path"], int(self.options.get("spread", 256)))
+        o = self.options
+        exts = tuple(e for e in o.get("exts", "").split(",") if e)
+        return TreeReader(o["path"], int(o.get("spread", 256)), exts, int(o.get("over", -1)), int(o["up_to"]) if "up_to" in o else None)
 
 
-def manifest(spark: SparkSession, root: str, spread: int = 256) -> DataFrame:
-    """rel, ext, size and path of every file below a folder, build output included; a file as root has none."""
+def manifest(spark: SparkSession, root: str, exts: tuple[str, ...] = (), over: int = -1, up_to: int | None = None, spread: int = 256) -> DataFrame:
+    """rel, ext, size and path of every file below a folder, build output included; a file as root has none.
+
+    Conditions that are given here are tested while folders are listed. They are options and no pushed filters, as the
+    engine keeps the filters that one query has pushed into such a source for later queries of the same DataFrame.
+    """
     spark.dataSource.register(SourceTree)
-    spark.conf.set(PUSHDOWN, "true")  # read when a query is planned, so it stays in the session
-    return spark.read.format(FORMAT).option("spread", spread).load(root)
+    options = {"spread": spread, "exts": ",".join(exts), "over": over} | ({} if up_to is None else {"up_to": up_to})
+    return spark.read.format(FORMAT).options(**options).load(root)
 
 
 def _opened_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
