@@ -7,7 +7,7 @@ place of the last separator before each block, which completes the documents tha
 
 Defined results: a document without tokens has count 0. Tokens after a file's last separator form one open document
 (``closed`` false); an empty file has no documents. Null texts are empty documents. Repeated rows and null ids are
-documents like any other.
+documents like any other. Ids have 16 bits: a vocabulary with larger ones is an error.
 """
 
 from __future__ import annotations
@@ -27,6 +27,13 @@ from tarnfall.llm.word_bpe import loaded, read_tokenizer, some_rows
 DTYPE = np.dtype("<u2")
 
 
+def stored(ids: np.ndarray) -> np.ndarray:
+    """The ids as a file holds them; ids that do not fit are an error."""
+    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) <= np.iinfo(DTYPE).max:
+        raise ValueError(f"token ids beyond {np.iinfo(DTYPE).max} do not fit into a token file")
+    return ids.astype(DTYPE)
+
+
 def write_token_files(docs: DataFrame, path: str, folder: str, separator: int) -> DataFrame:
     """Encodes the texts of each partition into one flat file below ``folder``.
 
@@ -35,6 +42,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, separator: int) -
     returned rows belong to the data set, which the caller saves before reading.
     """
     bound_batches(docs.sparkSession)
+    stored(np.array([separator]))
     source = read_tokenizer(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,7 +53,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, separator: int) -
             for part in chain.from_iterable(map(some_rows, batches)):
                 tokens, bounds = bpe.encode_texts(part.column("text").to_pylist())
                 ids.append(part.column("doc_id"))
-                yield np.insert(tokens, bounds[1:], separator).astype(DTYPE).tobytes()
+                yield stored(np.insert(tokens, bounds[1:], separator)).tobytes()
 
         size = write_file(uri, chunks())
         if ids:

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tarnfall.llm import line_rules, near_copies, quality, simhash_trie, toxicity, word_bpe
+from tarnfall.llm import decontaminate, line_rules, near_copies, quality, simhash_trie, toxicity, word_bpe
 from tarnfall.llm.registry import tokenizer
 from tarnfall.llm.textkernel import texts_of
 
@@ -69,3 +69,16 @@ def test_word_bpe(column, text):
     assert bounds[0] == 0 and bounds[3] == bounds[2] == len(ids)
     assert sum(bpe.names[int(i)].as_py().endswith("</w>") for i in ids[bounds[0] : bounds[1]]) == 3
     assert len(bpe.digests(bpe.numbers, ids, bounds)) == 3
+
+
+def test_sketches(column):
+    hashes, bounds = near_copies.shingles(texts_of(column), 5)
+    assert near_copies.sketches(hashes, bounds).shape == (3, near_copies.BINS // 32)
+
+
+def test_decontaminate(column, text):
+    item = text[text.index("w100 ") :][:400]
+    block = decontaminate.Block(["1"], [item], 10)
+    hits = pa.array([[]] * 3, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
+    n_words, found, items = block.search(texts_of(column), hits, pa.array([[]] * 3, pa.list_(pa.string())))
+    assert n_words.to_pylist() == [3, WORDS + 1_000_000, 0] and items.to_pylist() == [[], ["1"], []] and len(found[1]) >= 1

@@ -41,3 +41,15 @@ def test_boundaries_across_blocks(spark):
     for block in (2, 6, 64, 4096):
         got = sorted((name[r.file], r.ordinal, r.start, r.n_tokens, r.closed) for r in token_files.count_tokens(table, END, block).collect())
         assert got == sorted(want), block
+
+
+def test_ids_that_do_not_fit(spark, odd_docs):
+    import numpy as np
+    import pytest
+
+    assert token_files.stored(np.array([0, 65535])).tolist() == [0, 65535]
+    for ids in ([65536], [-1]):
+        with pytest.raises(ValueError):
+            token_files.stored(np.array(ids))
+    with pytest.raises(ValueError):
+        token_files.write_token_files(odd_docs, "none", "none", 70_000)
