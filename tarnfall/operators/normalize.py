@@ -16,9 +16,10 @@ def conform(rows: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return rows.select(*carry, *((F.col(name) if name in rows.columns else F.lit(None)).cast(kind).alias(name) for name, kind in TYPES.items()))
 
 
-def normalize(results: DataFrame, target: str, carry: tuple[str, ...] = ()) -> DataFrame:
+def normalize(results: DataFrame, target: str, carry: tuple[str, ...] = (), most_shown: int = 6) -> DataFrame:
     """Findings of :func:`tarnfall.sources.sarif.results`: rule ids cleaned, paths relative, severities on one scale,
-    weaknesses extracted, and no secret value left in any column; after the carried columns."""
+    weaknesses extracted, and no secret value left in any column; after the carried columns. most_shown: leading characters
+    of a secret that a message or snippet shows at most."""
     engine = F.col("engine")
     rows = results.withColumn("rule_id", f.rule_name(engine, F.col("raw_rule")))
     rows = rows.withColumn("text", F.coalesce("message_text", "short_text", "full_text", "rule_id"))
@@ -33,8 +34,8 @@ def normalize(results: DataFrame, target: str, carry: tuple[str, ...] = ()) -> D
         "cwe": f.with_fallback(named, secret, engine, F.col("rule_id")),
         "secret_value_hash": secrets.value_hash(F.col("found.value")),
         "severity": severity.normalize(secret, F.coalesce("found.live", F.lit(False)), F.col("score"), F.col("severity_word"), F.col("level"), F.col("score_number")),
-        "message": F.when(secret, secrets.redact_unknown(F.col("text"), F.col("rule_id"))).otherwise(F.col("text")),
-        "snippet": F.nullif(F.when(secret, secrets.redact_unknown(F.col("snippet"), F.col("rule_id"))).otherwise(F.col("snippet")), F.lit("")),
+        "message": F.when(secret, secrets.redact_unknown(F.col("text"), F.col("rule_id"), most_shown)).otherwise(F.col("text")),
+        "snippet": F.nullif(F.when(secret, secrets.redact_unknown(F.col("snippet"), F.col("rule_id"), most_shown)).otherwise(F.col("snippet")), F.lit("")),
         "confidence": severity.confidence(F.col("precision"), secret),
     })
     rows = rows.withColumns({
