@@ -11,8 +11,10 @@ are told apart before their texts are read: a sketch holds two bits of the least
 the bins that either text fills, a pair of similarity s shares s on average. Pairs beyond 4.8 deviations of a pair at the
 limit, one in a million, are left out.
 
-First every text is compared with one other: of the first members of its buckets, the first of all. That alone connects
-most groups of copies, by as many comparisons as there are texts. Then only bands whose members are in several components
+First every text is compared with the first of its component of the trie join; links connect, and the bands start from what
+is connected. Each text that still shares a band with other components is compared with one of them: of the first members of
+its buckets, the first of all. These two steps connect most groups of copies, by at most as many comparisons each as there
+are texts. Then only bands whose members are in several components
 are looked at, and only pairs of different components: small buckets in full; in a large one the few of the highest
 pseudorandom priority are compared with all others, then eight times as many, until all members are in one component or
 all pairs have been compared. A pair is compared in the first of its shared buckets alone. No bucket is ever sorted or held in one task.
@@ -175,20 +177,33 @@ def near_roots(texts: DataFrame, width: int, similarity: float, bands: int, rows
     keyed = join_groups(signed, of, "fp", "m").select("node", "n", F.explode(F.concat(banded, trie)).alias("x")).select("node", "n", "x.*")
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("first"))
     live = saved(join_groups(keyed, saved(sizes.where("size > 1"), "sizes"), "bucket", "size"), "buckets")
-    pairs = live.where("node <> first").groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")).select("a", "b")
-    roots = spark.createDataFrame([], "node long, root long")
+
+    def first_of(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")).select("a", "b")
+
+    def connected(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        links = saved(similar(saved(pairs, "pairs"), texts, width, similarity), "links")
+        if links.isEmpty():
+            return roots
+        return components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))  # what is connected already counts as one link for each member
+
+    def several(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """The rows of buckets whose members are in several components, with these."""
+        left = saved(rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "left")
+        apart = left.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
+        return saved(left.join(apart, "bucket", "left_semi"), "buckets")
+
+    # of the trie's components, which join texts far below the limit by chains, only the first comparison is of use
+    roots = connected(first_of(live.where("not band and node <> first")), spark.createDataFrame([], "node long, root long"))
+    live = several(live.where("band").drop("first"), roots)
+    heads = live.groupBy("bucket").agg(F.count("*").alias("m"), F.min(F.struct("node", "root")).alias("head"))
+    heads = saved(heads.select("bucket", "m", F.col("head.node").alias("first"), F.col("head.root").alias("first_root")), "heads")
+    pairs = first_of(join_groups(live, heads, "bucket", "m").where("root <> first_root"))
     low, high = 0.0, 0.0
     while not live.isEmpty():
-        pairs = saved(candidates(live, low, high, similarity) if high else pairs, "pairs")
-        links = saved(similar(pairs, texts, width, similarity), "links")
-        if not links.isEmpty():  # what is connected already counts as one link for each member
-            roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        # of the trie's components, which join texts far below the limit by chains, only the first comparison is of use
+        roots = connected(candidates(live, low, high, similarity) if high else pairs, roots)
         live = live if high else live.join(signed.select("node", "sketch", "buckets"), "node")
-        left = live.where(F.col("band") & (F.col("size") > (max(SMALL, high) if high else 1))).drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        left = saved(left, "left")
-        several = left.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-        live = saved(left.join(several, "bucket", "left_semi"), "buckets")
+        live = several(live.where(F.col("size") > (max(SMALL, high) if high else 1)), roots)
         low, high = high, 8 * high if high else float(SMALL)
     return roots
 

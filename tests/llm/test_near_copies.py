@@ -102,3 +102,25 @@ def test_sketches_keep_all_pairs_at_the_limit(spark):
     assert all(i in got for i, s in enumerate(exact) if s >= 0.8)
     low = [i for i, s in enumerate(exact) if s < 0.55 and rows[i][1]["n"] > 60]
     assert len([i for i in low if i in got]) < 0.05 * len(low)
+
+
+def test_the_trie_join_gives_links_of_its_own(spark):
+    """A copy and its text share a component of the trie join and no band; in its band the copy is with a stranger that comes first."""
+    text = " ".join(f"w{i}" for i in range(400))
+    key = lambda t: near_copies.buckets_of(*near_copies.shingles(near_copies.texts_of(near_copies.pa.array([t])), 5), 1, 1)[0, 0]
+    stranger = next(s for k in range(20_000) if key(f"{text} {(s := ' '.join(f'x{k}_{i}' for i in range(5)))}") == key(s))
+    rows = spark.createDataFrame([(1, stranger), (2, text), (3, f"{text} {stranger}")], "node long, text string")
+    for bands in (1, 32):
+        roots = {r.node: r.root for r in near_copies.near_roots(rows, 5, 0.8, bands, 1 if bands == 1 else 6).collect()}
+        assert roots == {2: 2, 3: 2}
+
+
+def test_bands_start_from_what_the_trie_join_has_connected(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [(k, " ".join([*words[: (at := int(rng.integers(0, 3000)))], f"x{k}", *words[at + 1 :]])) for k in range(40)]
+    compared = []
+    monkeypatch.setattr(near_copies, "similar", lambda pairs, *rest, real=near_copies.similar: compared.append(pairs.count()) or real(pairs, *rest))
+    roots = near_copies.near_roots(spark.createDataFrame(texts, "node long, text string"), 5, 0.8, 32, 6).collect()
+    assert {r.root for r in roots} == {0} and len(roots) == 40
+    assert compared == [39]
